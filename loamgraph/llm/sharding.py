@@ -22,9 +22,9 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def spread_groups(slim: DataFrame, n_shards: int) -> DataFrame:
     """Text hashes of the groups too large for one slot. There are at most n_shards / SPREAD of them."""
-    total = slim.agg(F.sum("size").alias("total"))
+    total = slim.agg(F.sum("size")).first()[0] or 0
     by_text = slim.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    return by_text.crossJoin(F.broadcast(total)).where((F.col("n") > 1) & (F.col("bytes") * n_shards > F.col("total") * SPREAD)).select("text_hash", F.lit(True).alias("spread"))
+    return by_text.where((F.col("n") > 1) & (F.col("bytes") * n_shards > total * SPREAD)).select("text_hash", F.lit(True).alias("spread"))
 
 
 def with_slots(slim: DataFrame, spread: DataFrame, slots: int = SLOTS) -> DataFrame:
