@@ -52,7 +52,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that column holds about `most` bytes in each; a longer single text stays whole."""
     for batch in batches:
         col = batch.column(column)
@@ -156,7 +156,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, up to the longest batch seen."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 5 << 20)
+        n = max(n, 9 << 17)
         base = 0x5851F42D4C957F2D
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
