@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import Texts, _powers, map_arrow, materialize, mix, sliced, table
+from loamgraph.llm.common import Texts, _powers, map_arrow, mix, sliced, table
 
 #: Sentences of a span, and words, at least.
 RUN, LEAST_WORDS = 3, 20
@@ -117,7 +117,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     all others but never first. Rows that repeat a doc_id are cut alike, by what was found for that id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(map_arrow(docs.select("doc_id", "text"), _emit, f"span long, doc_id {kind}, nth long"))
+    found = map_arrow(docs.select("doc_id", "text"), _emit, f"span long, doc_id {kind}, nth long")
     # The first of each span, counted where the rows lie before anything is shuffled.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth")
     first = found.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
