@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5, 6)
 #: Words averaged at a time; windows overlap by half. A text is as toxic as its worst window.
 WINDOW = 8
 #: Bound of the labelled rows that are learnt from: of either label.
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_TOXIC, MOST_CLEAN = 700, 1300
 
 
 def subwords(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
