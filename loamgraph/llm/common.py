@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can: idle Python workers keep none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with empty batches left out."""
 
@@ -48,11 +57,12 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in fn(b for b in batches if b.num_rows):
             if batch.num_rows:
                 yield batch
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut batches so that column holds about `most` bytes in each; a longer single text stays whole."""
     for batch in batches:
         col = batch.column(column)
