@@ -58,3 +58,27 @@ def nearest(rows: DataFrame, vector: list[float], take: int) -> DataFrame:
     """The rows (id, vector) with the highest cosine, ties by id."""
     q = F.array(*[F.lit(float(v)) for v in vector])
     return rows.select("id", cosine(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), "id").limit(take)
+
+
+def coverage(rows: DataFrame, query: str) -> DataFrame:
+    """rows with `coverage`: the share of the title's distinct stems that the query names."""
+    terms = rows.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]
+    words = F.array_distinct(tokens(F.col("title")))
+    named = F.filter(words, lambda w: w.isin(terms))
+    return rows.withColumn("coverage", F.when(F.size(words) > 0, F.size(named) / F.size(words)).otherwise(F.lit(0.0)))
+
+
+def weight(types: dict[str, float], paths: dict[str, float]) -> Column:
+    """A row's type weight times the least weight of the path patterns it fits; 1 where none is given."""
+    from loamgraph.plans.filter import glob_pattern
+
+    by_type = reduce(lambda c, kv: c.when(F.col("type") == kv[0], F.lit(kv[1])), types.items(), F.when(F.lit(False), F.lit(1.0))).otherwise(F.lit(1.0))
+    fits = [F.when(F.col("path").rlike(glob_pattern(g)), F.lit(w)) for g, w in paths.items()]
+    return by_type * F.coalesce(F.array_min(F.array(*fits)) if fits else F.lit(1.0), F.lit(1.0))
+
+
+def window(rows: DataFrame, take: int, skip: int = 0, least: float | None = None) -> DataFrame:
+    """Ranked rows: those of `least` score or more, best first and ties by id, a window of them."""
+    kept = rows if least is None else rows.where(F.col("score") >= least)
+    ranked = kept.orderBy(F.desc("score"), "id")
+    return (ranked.offset(skip) if skip else ranked).limit(take)

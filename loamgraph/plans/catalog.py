@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.text import STOPWORDS
 from loamgraph.operators import aggregate, rank
+from loamgraph.plans import catalog_graph
 from loamgraph.plans.filter import query
 from loamgraph.sources.graph import Graph
 
@@ -59,7 +60,7 @@ QUERIES = {
     "a13_degree": lambda spark, sf: aggregate.degrees(Graph(spark, sf).edges("placed-by").union(Graph(spark, sf).edges("in-nation"))),
     "r04_bm25": _bm25,
     "r05_cosine": _cosine,
-}
+} | catalog_graph.QUERIES
 
 _TOKENS = f"""
 w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{Nd}}]+')) AS w FROM documents),
@@ -95,4 +96,4 @@ ORACLE_SQL = {
     "s AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM h JOIN df USING (w) JOIN n USING (doc_id) CROSS JOIN g GROUP BY doc_id) "
     "SELECT doc_id AS id, round(raw / max(raw) OVER (), 6) AS lexical FROM s",
     "r05_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(v, q), 5) AS score FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20",
-}
+} | catalog_graph.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -9,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.functions import temporal
 from loamgraph.operators.traverse import reach
-from loamgraph.sources.graph import EDGES, ENUMS, TYPES, Graph
+from loamgraph.sources.graph import EDGES, ENUMS, INVERSES, TYPES, Graph
 
 _LEX = re.compile(r'\s*(?:(?P<op>!=|~=|<=|>=|->|<-|\.\.|[=<>()\[\],])|(?P<hops>\+|\{\d+(?:,\d*)?\})|"(?P<quoted>(?:[^"\\]|\\.)*)"|(?P<word>(?:(?!->|<-|\.\.)[^\s=<>()\[\]",!~+{])+))')
 MOST_HOPS, MOST_CHAIN = 50, 5
@@ -222,10 +224,11 @@ class Compiler:
         return F.coalesce(F.col(name), F.lit(False))
 
     def edge(self, e: Edge) -> DataFrame:
-        if e.name not in EDGES and e.name not in ("next", "parent"):
-            raise FilterError(f"no edge type {e.name!r}")
-        pairs = self.graph.edges(e.name)
-        if not e.out:
+        name = INVERSES.get(e.name, e.name)
+        if name not in EDGES and name not in ("next", "parent"):
+            raise FilterError(f"no edge type {e.name!r}{near_name(e.name, [*EDGES, *INVERSES, 'next', 'parent'])}")
+        pairs = self.graph.edges(name)
+        if e.out == (e.name in INVERSES):
             pairs = pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))
         if e.inner is None and (e.least, e.most) == (1, 1):
             return pairs.select(F.col("source").alias("id"))
@@ -246,12 +249,21 @@ class Compiler:
         roots = above.join(up, above.id == up.source, "left_anti").select("id")
         return reach(up, roots, 1, None).union(roots)
 
+    def day(self, value: str) -> Column:
+        """A date as it is stored; today-30d and the like count from the graph's clock."""
+        at = temporal.relative(value, self.graph.now)
+        if at is None and value.startswith(("today", "now")):
+            raise FilterError(f"no relative date {value!r}")
+        return F.lit(value if at is None else temporal.stored(at, "date"))
+
     def compare(self, c: Compare) -> Column:
         kind = next((t.properties[c.name] for t in TYPES.values() if c.name in t.properties), None)
         if c.name in ("id", "type", "path", "title"):
             kind = "string"
         if kind is None:
-            raise FilterError(f"no property {c.name!r}")
+            raise FilterError(f"no property {c.name!r}{near_name(c.name, sorted({p for t in TYPES.values() for p in t.properties}))}")
+        if kind == "list" and (c.op in ("<", "<=", ">", ">=") or isinstance(c.value, tuple)):
+            raise FilterError(f"{c.name} is a list: ask for an item with ~=")
         col = F.col(c.name)
         if c.value == "*" and not c.quoted:
             has = (F.size(col) > 0) if kind == "list" else col.isNotNull()
@@ -275,7 +287,7 @@ class Compiler:
             i = at(c.value)
             fit = [n for k, n in enumerate(names) if {"<": k < i, "<=": k <= i, ">": k > i, ">=": k >= i}[c.op]]
             return col.isin(fit) if fit else F.lit(False)
-        typed = {"int": lambda v: F.lit(int(v)), "float": lambda v: F.lit(float(v))}.get(kind, F.lit)
+        typed = {"int": lambda v: F.lit(int(v)), "float": lambda v: F.lit(float(v)), "date": self.day}.get(kind, F.lit)
         if isinstance(c.value, tuple):
             return col.between(*map(typed, c.value))
         return _OPS[c.op](col, typed(c.value))
@@ -309,6 +321,16 @@ def matching(graph: Graph, tree) -> DataFrame:
     return nodes.drop(*(c for m in compiler.marks for c in m.columns if c != "id"))
 
 
+def near_name(name: str, known: list[str]) -> str:
+    """A hint where a known name is one letter away."""
+    close = [k for k in known if abs(len(k) - len(name)) <= 1 and sum(n for *_, n in _changes(name, k)) <= 1]
+    return f"; did you mean {close[0]!r}?" if close else ""
+
+
+def _changes(a: str, b: str) -> list[tuple[str, int]]:
+    return [(tag, max(i2 - i1, j2 - j1)) for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
+
+
 def sort_keys(spec: str) -> list[Column]:
     """+a,-b as columns; an enum sorts by its declared order, unknown members last."""
     out = []

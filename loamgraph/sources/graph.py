@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ EDGES = {
     "contains-part": ("lineitem", "order", "l_orderkey", "part", "l_partkey"),
     "supplied-by": ("lineitem", "order", "l_orderkey", "supplier", "l_suppkey"),
 }
+#: Another name of an edge type, read from its target to its source.
+INVERSES = {"nations": "in-region", "customers": "in-nation", "orders": "placed-by"}
 #: Edge types that make up the parent hierarchy, child to parent.
 HIERARCHY = ("in-nation", "in-region")
 
@@ -47,8 +50,8 @@ def node_id(kind: str, key: str) -> Column:
 class Graph:
     """Reads nodes and edges as they are asked for; a type's columns are read only where a query names them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, now: datetime | None = None):
+        self.spark, self.sf_dir, self.now = spark, sf_dir, now or datetime.now(UTC)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

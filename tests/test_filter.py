@@ -1,8 +1,8 @@
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
-from pathlib import Path
 
 from loamgraph.functions.text import tokens
 from loamgraph.operators.traverse import reach
@@ -55,7 +55,7 @@ def test_cycle_walk(spark):
     assert {r.id for r in reach(ring, b, 4, 4).collect()} == {"a"}
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in Path(SF).glob("*.parquet"):
