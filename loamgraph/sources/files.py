@@ -168,7 +168,7 @@ def markdown_units(text: str) -> list[dict]:
 
 
 # Elements that end a block of text, and those whose content isn't shown.
-BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul br".split())
+BLOCKS = frozenset("p div section article h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tr td th header footer main aside nav".split())
 UNSEEN = frozenset({"head", "script", "style"})
 
 
@@ -286,7 +286,9 @@ def parse_file(path: str, source: str, default_type: str | None = None, prefix:
     return {"type": kind, "title": str(title), "properties": json.dumps(properties, ensure_ascii=False, sort_keys=True), "body": body, "units": units, "links": found, "error": None if kind else "no type"}
 
 
-NODE = f"id string, path string, type string, title string, properties string, body string, content_hash string, units array<struct<{', '.join(f.replace(' ', ': ', 1) for f in UNIT.split(', '))}>>, links array<string>, error string"
+COLUMNS = ("id", "path", "type", "title", "properties", "body", "content_hash", "units", "links", "error")
+_SHAPES = {"units": f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in UNIT.split(', '))}>>", "links": "array<string>"}
+NODE = ", ".join(f"{c} {_SHAPES.get(c, 'string')}" for c in COLUMNS)
 
 
 def read_folder(spark: SparkSession, root: str, default_type: str | None = None, ignore: str | None = None, prefix: str = "node:") -> DataFrame:
@@ -305,7 +307,7 @@ def parsed(rows: DataFrame, default_type: str | None = None, prefix: str = "node
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [{"id": p.removesuffix(".md"), "path": p, "content_hash": h} | parse_file(p, s or "", default_type, prefix) for p, s, h in zip(frame.path, frame.source, frame.content_hash, strict=True)]
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in re.split(r", (?![^<]*>)", NODE)])
+            yield pd.DataFrame(out, columns=list(COLUMNS))
 
     return rows.select("path", "source", "content_hash").mapInPandas(run, NODE)
 

@@ -4,7 +4,7 @@ import pytest
 
 from loamgraph.functions import passages, temporal
 from loamgraph.operators import analytics, expand
-from loamgraph.plans import checks
+from loamgraph.plans import catalog, checks
 from loamgraph.plans.filter import FilterError, query
 from loamgraph.sources.graph import Graph
 from loamgraph.streaming import changes
@@ -100,3 +100,9 @@ def test_cascade(spark):
     edges = spark.createDataFrame([("f#S1", "fg"), ("fg", "f")], "source string, target string")
     n, e = changes.cascade(nodes, edges, spark.createDataFrame([("f",)], "id string"))
     assert [r.id for r in n.collect()] == ["fg"] and [r.source for r in e.collect()] == ["fg"]
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+def test_rows(spark, name):
+    rows = catalog.QUERIES[name](spark, SF)
+    assert rows.count() > 0 and all("(" not in c for c in rows.columns)
