@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that executors share."""
+    """Cuts lineage in the folder that executors share; the files go when the application ends."""
     at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{df.sparkSession.sparkContext.applicationId}"
     path = f"{at.rstrip('/')}/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
