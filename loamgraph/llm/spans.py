@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm.common import Texts, _powers, map_arrow, mix, sliced, table
 
-#: Sentences of a span, and words, at least.
+#: Sentences or pieces of a span, and words, at least.
 RUN, LEAST_WORDS = 3, 20
-LENGTHS = 64
+LENGTHS = 1 << 24
 #: A sentence of more words than this is cut where a word's hash says so (one in four) and after a word said
 #: three times or more in a row, so that equal passages in text without punctuation are cut alike.
 LONG, CUT = 16, np.uint64(3)
+#: Pieces are cut so in sentences of any length, and after the least hash of every GAP words in a row without a cut.
+GAP = 9
 
 
-def sentences(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and end word of each sentence, and its text. It ends after a word that ends in . ! or ?,
-    before a line break, at the text's end, or in a long one as the words there say."""
+def ends_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text of each word, and whether it ends a sentence and a piece. A sentence ends after a word that ends in . ! or ?,
+    before a line break, at the text's end, or in a long one as the words there say. Pieces end there too, and where
+    the words next to it say so, whatever sentence surrounds them: equal passages have equal pieces inside."""
     n = len(t.starts)
     if not n:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     last = t.bytes[t.ends - 1]
     ends = (last == 46) | (last == 33) | (last == 63)
     breaks = np.concatenate([[0], np.cumsum(t.bytes == 10)])
@@ -32,59 +35,66 @@ def sentences(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(t.n), t.n_words)
     ends[:-1] |= doc[1:] != doc[:-1]
     ends[-1] = True
-    # Cuts inside long sentences: after words that hash to a cut.
+    # Cuts inside sentences: after words that hash to a cut.
     start = np.concatenate([[True], ends[:-1]])
     h = t.word_hashes()
-    cuts = (h & CUT) == 0
-    cuts[1:] &= h[1:] != h[:-1]
-    cuts[2:-1] |= (h[2:-1] == h[1:-2]) & (h[2:-1] == h[:-3]) & (h[2:-1] != h[3:])
+    same = np.zeros(n, dtype=bool)
+    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    cuts = ((h & CUT) == 0) & ~same
+    cuts[1:-1] |= same[1:-1] & same[:-2] & ~same[2:]
     length = np.diff(np.flatnonzero(np.concatenate([start, [True]])))
     long = np.repeat(length > LONG, length)
-    ends |= cuts & long
-    stop = np.flatnonzero(ends) + 1
-    begin = np.concatenate([[0], stop[:-1]])
-    return begin, stop, doc[begin]
-
-
-def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place of the shortest run from each sentence on that has RUN sentences and LEAST_WORDS words;
-    begin and stop of the sentences. The place is LENGTHS times the first sentence's number plus the run's length."""
-    begin, stop, doc = sentences(t)
-    m = len(begin)
-    if m < RUN:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, begin, stop
-    h = t.word_hashes()
-    # A sentence's hash from its words, position by position (a sum of hashes mixed with their place).
-    place = (np.arange(len(h)) - np.repeat(begin, stop - begin)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = (h ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-        s = np.add.reduceat(mixed * np.uint64(0x94D049BB133111EB), begin) + (stop - begin).astype(np.uint64)
-    # Of a run, the sentences' hashes times powers by place; ends are RUN sentences on, or where the words suffice.
-    power, inverse = _powers(m + 1)
-    at = np.arange(m)
-    end = np.maximum(at + RUN, np.searchsorted(stop, begin + LEAST_WORDS) + 1)
-    per = np.searchsorted(doc, np.arange(t.n + 1))
-    ok = np.flatnonzero(end <= per[doc + 1])
+    pieces = ends | cuts
+    if n >= GAP:
+        total = np.concatenate([[0], np.cumsum(pieces)])
+        free = np.flatnonzero(total[GAP:] == total[:-GAP])
+        key = np.where(same, np.uint64(2**64 - 1), h)
+        least = free + GAP - 1 - np.argmin(np.lib.stride_tricks.sliding_window_view(key, GAP)[free][:, ::-1], axis=1)
+        pieces[least[~same[least]]] = True
+    return doc, ends | cuts & long, pieces
+
+
+def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of the shortest run from each sentence on that has RUN sentences and LEAST_WORDS words,
+    and the same of pieces. The place is LENGTHS times the first piece's number plus the run's length in pieces."""
+    doc, *both = ends_of(t)
+    n = len(doc)
+    pairs = []
+    for ends in both:
+        stop = np.flatnonzero(ends) + 1
+        begin = np.concatenate([[0], stop[:-1]])[: len(stop)]
+        # Ends are RUN sentences on, or where the words suffice.
+        end = np.maximum(np.arange(len(stop)) + RUN, np.searchsorted(stop, begin + LEAST_WORDS) + 1)
+        per = np.searchsorted(stop, t.bounds, side="right")
+        ok = np.flatnonzero(end <= per[doc[begin] + 1])
+        pairs.append(begin[ok] * (n + 1) + stop[end[ok] - 1])
+    first, end = np.divmod(np.unique(np.concatenate(pairs)).astype(np.int64), n + 1)
+    # Of a run, the words' hashes times powers by place.
+    power, inverse = _powers(n + 1)
+    number = np.concatenate([[0], np.cumsum(both[1])])
     with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power[:m], dtype=np.uint64)])
-        whole = mix((run[end[ok]] - run[ok]) * inverse[ok] + (end[ok] - ok).astype(np.uint64))
-    return whole, doc[ok], (ok - per[doc[ok]]) * LENGTHS + (end[ok] - ok), begin, stop
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.word_hashes() * power[:n], dtype=np.uint64)])
+        whole = mix((run[end] - run[first]) * inverse[first] + (end - first).astype(np.uint64))
+    text = doc[first]
+    return whole, text, (number[first] - number[t.bounds[text]]) * LENGTHS + number[end] - number[first]
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
-        h, doc, nth, _, _ = spans(Texts(batch.column("text")))
+        h, doc, nth = spans(Texts(batch.column("text")))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(nth)], names=["span", "doc_id", "nth"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the sentences of repeated spans out of each text; what stays keeps its own white space."""
+    """Takes the pieces of repeated spans out of each text; what stays keeps its own white space."""
     for batch in sliced(batches, "text"):
         t = Texts(batch.column("text"))
-        begin, stop, doc = sentences(t)
-        per = np.searchsorted(doc, np.arange(t.n + 1))
+        _, sentence, piece = ends_of(t)
+        stop = np.flatnonzero(piece) + 1
+        begin = np.concatenate([[0], stop[:-1]])[: len(stop)]
+        per = np.searchsorted(stop, t.bounds, side="right")
+        # Sentences before each word.
+        nth = np.concatenate([[0], np.cumsum(sentence)])
         originals = batch.column("text").to_pylist()
         texts, cut, words = [], [], []
         for i, found in enumerate(batch.column("found").to_pylist()):
@@ -98,22 +108,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone[k // LENGTHS : k // LENGTHS + k % LENGTHS] = True
             raw = t.bytes[t.offsets[i] : t.offsets[i + 1]].tobytes()
             b, e = begin[per[i] : per[i + 1]], stop[per[i] : per[i + 1]]
-            # A sentence reaches to the start of the next one.
+            # A piece reaches to the start of the next one.
             lo = t.starts[b] - t.offsets[i]
             hi = np.concatenate([lo[1:], [len(raw)]])
             kept = b"".join(raw[x:y] for x, y, g in zip(lo.tolist(), hi.tolist(), gone.tolist(), strict=True) if not g)
             texts.append((raw[: lo[0]] + kept).decode())
-            cut.append(int(gone.sum()))
+            cut.append(len(np.unique(nth[b[gone]])))
             words.append(int((e - b)[gone].sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((per[1:] - per[:-1]).astype(np.int64)), pa.array(cut, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "cut_sentences", "cut_words", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(nth[t.bounds]).astype(np.int64)), pa.array(cut, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "cut_sentences", "cut_words", "text"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, cut_sentences, cut_words and the text without the sentences covered by any span
-    that stood before: of equal spans the one in the smallest doc_id, and there the first, stays.
+    """doc_id, n_sentences, cut_sentences, cut_words and the text without the pieces of sentences covered by any span
+    that stood before: of equal spans the one in the smallest doc_id, and there the first, stays. cut_sentences
+    counts the sentences that lost a piece or all.
 
-    Spans are runs of RUN sentences, more where these have fewer than LEAST_WORDS words, compared word by word
-    with their case. Texts of fewer sentences stay whole, as null and empty ones do. Rows with a null doc_id are cut against
+    Spans are runs of RUN sentences, and of RUN pieces of sentences, more where these have fewer than LEAST_WORDS words,
+    compared word by word with their case. A passage of 51 words is found wherever it starts and ends, unless it says
+    one word GAP times in a row; up to some words at its edges stay. Texts of fewer sentences stay whole, as null and empty ones do. Rows with a null doc_id are cut against
     all others but never first. Rows that repeat a doc_id are cut alike, by what was found for that id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -99,6 +99,24 @@ def test_spans_keep_first(spark):
     assert got[2].text == "Beta is other text. Gamma ends it here."
 
 
+def test_spans_passages_at_every_offset(spark):
+    """Copies of 51 words that start and end inside sentences of 8 to 16 words, at every offset."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    rows = []
+    for size in (8, 14, 15, 16):
+        for at in range(size * 3):
+            source = [w + "." * (k % size == size - 1) for k, w in enumerate(words(size * 9))]
+            rows.append((2 * len(rows), " ".join(source)))
+            rows.append((2 * len(rows) + 1, " ".join(words(5) + source[at : at + 51] + words(7))))
+    got = {r.doc_id: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].cut_words == 0 for k, _ in rows[::2])
+    assert min(got[k].cut_words for k, _ in rows[1::2]) >= 20
+    assert max(got[k].cut_words for k, _ in rows[1::2]) <= 51
+    for k, text in rows:
+        assert len(got[k].text.split()) == len(text.split()) - got[k].cut_words
+
+
 def test_shards(spark):
     rows = sharding.op7_virtual_slots(spark, SF).toPandas()
     assert sorted(rows["shard"].unique()) == list(range(40))
