@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.llm.common import Texts, _powers, map_arrow, mix, sliced, table
@@ -82,11 +82,13 @@ def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         h, doc, nth = spans(Texts(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(nth)], names=["span", "doc_id", "nth"])
+        doc = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(doc), batch.column("key").take(doc), pa.array(nth)], names=["span", "doc_id", "key", "nth"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes the pieces of repeated spans out of each text; what stays keeps its own white space."""
+    """Takes the pieces of repeated spans out of each text; what stays keeps its own white space. Of a text in several
+    copies the first is cut so, and of the others the pieces of all spans."""
     for batch in sliced(batches, "text"):
         t = Texts(batch.column("text"))
         _, sentence, piece = ends_of(t)
@@ -96,13 +98,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sentences before each word.
         nth = np.concatenate([[0], np.cumsum(sentence)])
         originals = batch.column("text").to_pylist()
+        copies = np.asarray(batch.column("copies"))
+        more = np.flatnonzero(copies > 1)
+        every = {i: [] for i in more.tolist()}
+        if len(more):
+            _, text, place = spans(t)
+            for i in every:
+                every[i] = place[np.searchsorted(text, i) : np.searchsorted(text, i, side="right")].tolist()
         texts, cut, words = [], [], []
-        for i, found in enumerate(batch.column("found").to_pylist()):
+
+        def take(i: int, found: list[int] | None) -> None:
             if not found:
                 texts.append(originals[i])
                 cut.append(0)
                 words.append(0)
-                continue
+                return
             gone = np.zeros(per[i + 1] - per[i], dtype=bool)
             for k in found:
                 gone[k // LENGTHS : k // LENGTHS + k % LENGTHS] = True
@@ -115,7 +125,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append((raw[: lo[0]] + kept).decode())
             cut.append(len(np.unique(nth[b[gone]])))
             words.append(int((e - b)[gone].sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(nth[t.bounds]).astype(np.int64)), pa.array(cut, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "cut_sentences", "cut_words", "text"])
+
+        for i, found in enumerate(batch.column("found").to_pylist()):
+            take(i, found)
+        n_sentences = np.diff(nth[t.bounds]).astype(np.int64)
+        ids = batch.column("doc_id")
+        yield _rows(ids, n_sentences, cut, words, texts)
+        for i, places in every.items():
+            take(i, places)
+            # In batches of about a slice.
+            most, left = 1 + (1 << 18) // (1 + len(texts[-1])), int(copies[i]) - 1
+            while left:
+                n = min(most, left)
+                yield _rows(ids.take(pa.array([i] * n)), np.repeat(n_sentences[i], n), cut[-1:] * n, words[-1:] * n, texts[-1:] * n)
+                left -= n
+
+
+def _rows(ids: pa.Array, n_sentences: np.ndarray, cut: list[int], words: list[int], texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_sentences), pa.array(cut, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "cut_sentences", "cut_words", "text"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -125,17 +152,25 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Spans are runs of RUN sentences, and of RUN pieces of sentences, more where these have fewer than LEAST_WORDS words,
     compared word by word with their case. A passage of 51 words is found wherever it starts and ends, unless it says
-    one word GAP times in a row; up to some words at its edges stay. Texts of fewer sentences stay whole, as null and empty ones do. Rows with a null doc_id are cut against
-    all others but never first. Rows that repeat a doc_id are cut alike, by what was found for that id.
+    one word GAP times in a row; up to some words at its edges stay. Texts of fewer sentences stay whole, as null and empty ones do.
+
+    Rows are told apart by doc_id and a hash of the text. Different texts of one doc_id, or without one, are cut each by
+    what it repeats; the smallest hash is first, null ids after all others. Rows that repeat a doc_id and its text are cut
+    alike; of equal texts without a doc_id the others lose what the first one has said.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(docs.select("doc_id", "text"), _emit, f"span long, doc_id {kind}, nth long")
-    # The first of each span, counted where the rows lie before anything is shuffled.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth")
-    first = found.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", "first")
-    again = found.join(first, "span").where((F.coalesce("doc_id", F.lit(-1)) != F.coalesce("first.doc_id", F.lit(-1))) | (F.col("nth") != F.col("first.nth")) | F.col("doc_id").isNull())
-    by_doc = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("nth")).alias("found"))
-    held = docs.select("doc_id", "text").alias("d").join(by_doc.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select("d.doc_id", "d.text", "b.found")
+    whole = F.xxhash64("text")
+    # 32 bits tell the few texts of one id apart, and keep the shuffle small.
+    key = F.when(F.col("doc_id").isNull(), whole).otherwise(whole.bitwiseAND(F.lit((1 << 32) - 1)))
+    found = map_arrow(docs.select("doc_id", "text", key.alias("key")), _emit, f"span long, doc_id {kind}, key long, nth long")
+    # All but the first place of each span; equal rows have equal places.
+    nth = F.rank().over(Window.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "key", "nth"))
+    again = found.withColumn("rank", nth).where("rank > 1")
+    by_row = again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("nth")).alias("found"))
+    nulls = docs.where("doc_id is null").groupBy("text").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.lit(1).cast("long").alias("copies")).union(nulls.select("doc_id", "text", "copies"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.key") == F.col("b.key"))
+    held = rows.withColumn("key", key).alias("d").join(by_row.alias("b"), same, "left").select("d.doc_id", "d.text", "d.copies", "b.found")
     return map_arrow(held, _cut, f"doc_id {kind}, n_sentences long, cut_sentences long, cut_words long, text string")
 
 

@@ -117,6 +117,19 @@ def test_spans_passages_at_every_offset(spark):
         assert len(got[k].text.split()) == len(text.split()) - got[k].cut_words
 
 
+def test_spans_tell_rows_apart(spark):
+    """Null and repeated ids: a row loses only what it repeats, and one copy of everything stays."""
+    line = lambda name: " ".join(f"{name}{i} is number {i} in the line of {name}." for i in range(8))
+    rows = [(None, line("Aa") + " " + line("Bb")), (None, line("Cc") + " " + line("Aa")), (None, line("Dd") + " " + line("Ee"))]
+    rows += [(None, line("Ff"))] * 3 + [(7, line("Gg") + " " + line("Hh")), (7, line("Ii") + " " + line("Gg")), (8, line("Hh")), (9, line("Jj")), (9, line("Jj"))]
+    got = [r.text for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    everything = " ".join(got)
+    for name in "Aa Bb Cc Dd Ee Ff Gg Hh Ii".split():
+        assert everything.count(line(name)) == everything.count(f"of {name}.") // 8 == 1, name
+    assert got.count(line("Jj")) == 2  # a row that is there twice
+
+
 def test_shards(spark):
     rows = sharding.op7_virtual_slots(spark, SF).toPandas()
     assert sorted(rows["shard"].unique()) == list(range(40))
