@@ -82,10 +82,8 @@ class Model:
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         ids, at = subwords(texts, texts.starts[first], texts.ends[first])
         run = np.concatenate([[0.0], np.cumsum(self.score[ids])])
-        out = ((run[at[1:]] - run[at[:-1]]) / (at[1:] - at[:-1]))[back]
-        # A word said again at once is no further evidence.
-        out[1:][h[1:] == h[:-1]] = 0
-        return out
+        # Every word counts, said again or not, as in training.
+        return ((run[at[1:]] - run[at[:-1]]) / (at[1:] - at[:-1]))[back]
 
     def worst(self, texts: Texts) -> np.ndarray:
         """Log odds of each text's worst window; the bias alone where there are no words."""

@@ -154,6 +154,15 @@ def test_toxicity_held_out(spark):
     assert got[got["toxic"] == 1]["score"].mean() > clean["score"].mean() + 0.3
 
 
+def test_toxicity_of_repeated_words():
+    """A text scores alike beside any other, and a repeated insult as the insult."""
+    m = toxicity.fit(pa.array(["you idiot", "good day"] * 20), np.array([1, 0] * 20))
+    texts = ["idiot", "idiot", "idiot you", "you idiot", "idiot", "idiot idiot idiot idiot", "you you idiot"]
+    got = m(Texts(pa.array(texts)))
+    assert np.allclose(got, [m(Texts(pa.array([t])))[0] for t in texts])
+    assert np.allclose(got[[0, 1, 4, 5]], got[0]) and got[0] > m(Texts(pa.array([""])))[0]
+
+
 def test_pages_main_text(spark):
     got = html.op9_dom_tree_model(spark, SF).toPandas()
     page = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id").html
