@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamgraph.functions.text import tokens
 
@@ -60,6 +64,51 @@ def nearest(rows: DataFrame, vector: list[float], take: int) -> DataFrame:
     return rows.select("id", cosine(F.col("vector"), q).alias("score")).orderBy(F.desc("score"), "id").limit(take)
 
 
+def nearest_each(rows: DataFrame, queries: DataFrame, take: int) -> DataFrame:
+    """(query_id, id, score): of every query (id, vector) the rows (id, vector) with the highest cosine, ties by id.
+
+    Blocks of queries meet blocks of rows; each pair of blocks gives its best, and these are ranked by query.
+    """
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        n = F.lit(df.count() // size + 1)
+        row = F.struct("id", F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+        return df.groupBy(F.pmod(F.xxhash64("id"), n).alias("block")).agg(F.collect_list(row).alias(name)).select(name)
+
+    def matrix(items: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([-1 if x["vector"] is None else len(x["vector"]) for x in items])
+        at = np.zeros((max(sizes.max(), 1), len(items)))
+        for i, x in enumerate(items):
+            at[: max(sizes[i], 0), i] = x["vector"] or []
+        norm = np.zeros(len(items))
+        for v in at:
+            norm += v * v
+        return at, sizes, np.sqrt(norm)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                some, own = batch.column("r")[i].as_py(), batch.column("q")[i].as_py()
+                some.sort(key=lambda x: (x["id"] is not None, x["id"]))
+                (a, n, norm), (b, m, length) = matrix(some), matrix(own)
+                dot = np.zeros((len(own), len(some)))
+                for x, y in zip(a, b, strict=False):  # in order, as a loop over one pair would
+                    dot += y[:, None] * x
+                by = length[:, None] * norm
+                score = np.where((m[:, None] == n) & (by > 0), dot / np.where(by > 0, by, 1.0), 0.0)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :take]
+                q = np.repeat(np.arange(len(own)), best.shape[1])
+                at = best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([own[k]["id"] for k in q], kinds[0]), pa.array([some[k]["id"] for k in at], kinds[1]), pa.array(score[q, at])], names=["query_id", "id", "score"])
+
+    kinds = [to_arrow_type(df.schema["id"].dataType) for df in (queries, rows)]
+    pairs = blocks(rows, 1024, "r").crossJoin(blocks(queries, 128, "q"))
+    kind = [df.schema["id"].dataType.simpleString() for df in (queries, rows)]
+    scored = pairs.mapInArrow(run, f"query_id {kind[0]}, id {kind[1]}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= take).drop("place")
+
+
 def coverage(rows: DataFrame, query: str) -> DataFrame:
     """rows with `coverage`: the share of the title's distinct stems that the query names."""
     terms = rows.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]

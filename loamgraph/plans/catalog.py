@@ -38,6 +38,12 @@ def _cosine(spark, sf):
     return rank.nearest(vectors, list(first.vector), 20).select("id", F.round("score", 5).alias("score"))
 
 
+def _cosine_all(spark, sf):
+    """The search of every row whose id is divisible by 100."""
+    vectors = Graph(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rank.nearest_each(vectors, vectors.where("id % 100 = 0"), 20).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
 QUERIES = {
     FLAGSHIP: _flagship,
     "a05_status": _status,
@@ -60,6 +66,7 @@ QUERIES = {
     "a13_degree": lambda spark, sf: aggregate.degrees(Graph(spark, sf).edges("placed-by").union(Graph(spark, sf).edges("in-nation"))),
     "r04_bm25": _bm25,
     "r05_cosine": _cosine,
+    "r05_cosine_all": _cosine_all,
 } | catalog_graph.QUERIES
 
 _TOKENS = f"""
@@ -96,4 +103,5 @@ ORACLE_SQL = {
     "s AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM h JOIN df USING (w) JOIN n USING (doc_id) CROSS JOIN g GROUP BY doc_id) "
     "SELECT doc_id AS id, round(raw / max(raw) OVER (), 6) AS lexical FROM s",
     "r05_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(v, q), 5) AS score FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20",
+    "r05_cosine_all": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(v.v, q.v) AS c FROM v, v q WHERE q.vec_id % 100 = 0) SELECT query_id, id, round(c, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 20",
 } | catalog_graph.ORACLE_SQL

@@ -106,3 +106,10 @@ def test_cascade(spark):
 def test_rows(spark, name):
     rows = catalog.QUERIES[name](spark, SF)
     assert rows.count() > 0 and all("(" not in c for c in rows.columns)
+
+
+def test_nearest_of_every_query(spark):
+    rows = catalog.QUERIES["r05_cosine_all"](spark, SF).collect()
+    by = {q: [r.id for r in rows if r.query_id == q] for q in range(0, 500, 100)}
+    assert len(rows) == 100 and all(len(ids) == 20 for ids in by.values())
+    assert set(by[0]) == {r.id for r in catalog.QUERIES["r05_cosine"](spark, SF).collect()}
