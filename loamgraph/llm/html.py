@@ -21,6 +21,8 @@ _BLOCKS = frozenset(
 #: Their content is never text of a page.
 _RAW = frozenset("script style textarea title xmp noframes noembed iframe".split())
 _SKIPPED = frozenset("head template svg math object audio video canvas map select button datalist noscript".split())
+#: What may stand in a head, beside what is raw; any other start tag ends it.
+_IN_HEAD = frozenset("head html base basefont bgsound link meta noscript template".split())
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: What an opening tag closes, and where the search for it ends.
@@ -118,6 +120,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop_to(len(stack) - 1)
+        elif tag == "body" and (heads := [k for k, (t, _) in enumerate(stack) if t == "head"]):
+            pop_to(heads[0])
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -133,8 +139,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[k][0] in until:
                     break
-        if tag == "body" and stack[-1][0] == "head":
-            pop_to(len(stack) - 1)
         if tag in _VOID:
             if tag == "hr":
                 cut()
@@ -185,7 +189,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
                 f"s:{min(6, int(100 * stops[i] / n)) if n else -1}",
                 f"k:{min(x.kids, 8).bit_length()}",
                 f"f:{min(fields[i], 2)}",
-                *("c:" + w for w in x.names[:8]),
+                *("c:" + w for w in x.names),
             ]
         )
     return out

@@ -171,3 +171,14 @@ def test_pages_main_text(spark):
         title = re.search(r"<h1>([^<&]*)</h1>", page[r.page_id])
         if title and title[1].strip() and r.text:
             assert " ".join(title[1].split()) in r.text and "©" not in r.text
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title>", "<html><head><meta charset=x><noscript><body>", "<head><template><body>", "<head><link href=x></head><body>"])
+def test_head_left_open(start):
+    nodes, runs = html.parse(start + "<article><p>Main text</p></article>")
+    assert [t for _, t in runs] == ["Main text"] and "article" in [x.tag for x in nodes]
+
+
+def test_every_class_word_is_a_feature():
+    nodes, _ = html.parse('<div class="aa bb cc dd ee ff gg hh sidebar">x</div>')
+    assert "c:sidebar" in html.features(nodes)[1]
