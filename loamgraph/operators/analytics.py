@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.operators.traverse import _kept
+from loamgraph.operators.components import star_components
+from loamgraph.operators.storage import kept
 
 #: Rounds that take nodes without an incoming or outgoing edge away before cycles are looked for.
 TRIM_ROUNDS = 3
@@ -17,19 +18,7 @@ TRIM_ROUNDS = 3
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge: the smallest id reachable, by alternating large and small stars."""
-    stars = _kept(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        up = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(up, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(up.select("a", F.col("m").alias("b")))
-        stars = _kept(small.where("a <> b").distinct())
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+    stars = star_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
     known = stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
     known = known.union(stars.select("b", "b").distinct())
     loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component")).distinct()
@@ -43,7 +32,7 @@ def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
     Roots are found by doubling the step each round, so a chain of N takes log N joins. On a cycle the group
     is the cycle's smallest id.
     """
-    up = _kept(parents.where("source <> target").groupBy("source").agg(F.min("target").alias("target")))
+    up = kept(parents.where("source <> target").groupBy("source").agg(F.min("target").alias("target")))
     every = up.select(F.col("source").alias("id")).union(up.select("target")).distinct()
     now = every.join(up.withColumnRenamed("source", "id"), "id", "left").select("id", F.coalesce("target", "id").alias("ancestor"))
     if depth is not None:
@@ -51,11 +40,11 @@ def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
             step = up.select(F.col("source").alias("ancestor"), F.col("target").alias("next"))
             now = now.join(step, "ancestor", "left").select("id", F.coalesce("next", "ancestor").alias("ancestor"))
         return now
-    now = _kept(now.withColumn("least", F.least("id", "ancestor")))
+    now = kept(now.withColumn("least", F.least("id", "ancestor")))
     size, reach = now.count(), 1
     while reach < 2 * size:
         far = now.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("least").alias("far"))
-        later = _kept(now.join(far, "ancestor").select("id", F.col("next").alias("ancestor"), F.least("least", "far").alias("least")))
+        later = kept(now.join(far, "ancestor").select("id", F.col("next").alias("ancestor"), F.least("least", "far").alias("least")))
         reach *= 2
         moved = later.join(now, "id").where(later.ancestor != now.ancestor).isEmpty()
         now = later
@@ -132,7 +121,7 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     pairs = edges.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum(weight).alias("w"))
-    pairs = _kept(pairs)
+    pairs = kept(pairs)
     total = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
     grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
 
@@ -197,10 +186,10 @@ def cycles(edges: DataFrame) -> DataFrame:
     Nodes without a way in or out are taken away first for TRIM_ROUNDS rounds; what stays is dealt by weak
     component, which must fit into a task.
     """
-    left = _kept(edges.select("source", "target").distinct())
+    left = kept(edges.select("source", "target").distinct())
     for _ in range(TRIM_ROUNDS):
         has_in, has_out = left.select(F.col("target").alias("source")).distinct(), left.select(F.col("source").alias("target")).distinct()
-        left = _kept(left.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi").select("source", "target"))
+        left = kept(left.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi").select("source", "target"))
     dealt = left.join(components(left).withColumnRenamed("id", "source"), "source")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that executors share; the files go when the application ends."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{df.sparkSession.sparkContext.applicationId}"
-    path = f"{at.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loamgraph.operators.storage import kept
 
 
 def reach(edges: DataFrame, far: DataFrame, least: int, most: int | None) -> DataFrame:
@@ -25,7 +14,7 @@ def reach(edges: DataFrame, far: DataFrame, least: int, most: int | None) -> Dat
     Bounded walks keep one set of ids a step, as a node may be met again; unbounded ones keep what is new
     once `least` steps are made, so cycles end.
     """
-    frontier = _kept(far.select("id").distinct())
+    frontier = kept(far.select("id").distinct())
     found: DataFrame | None = None
     step = 0
     while most is None or step < most:
@@ -33,7 +22,7 @@ def reach(edges: DataFrame, far: DataFrame, least: int, most: int | None) -> Dat
         reached = edges.join(frontier, edges.target == frontier.id, "left_semi").select(F.col("source").alias("id")).distinct()
         if most is None and found is not None:
             reached = reached.join(found, "id", "left_anti")
-        frontier = _kept(reached)
+        frontier = kept(reached)
         if frontier.isEmpty():
             break
         if step >= least:
