@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgraph.operators.components import star_components
+from loamgraph.operators.storage import kept as materialize
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,26 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and every executor can reread it.
+def occurrences(rows: DataFrame, key: str) -> DataFrame:
+    """rows with _nth: of rows that share the key, 0 for one, 1 for another, and so on; 0 for all others.
 
-    The files go when the application ends.
+    Which of them gets which number is open, so rows that share a key must be interchangeable. A key that a third of
+    all rows have is numbered in as many parts as the rows lie in, each in a task of its own.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/loamgraph-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    many = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if many.isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    again = materialize(rows.withColumn("_part", F.spark_partition_id()).join(many, key, "left_semi"))
+    counts = again.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = counts.select(key, "_part", F.coalesce(before, F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(key))
+    numbered = again.withColumn("_within", within).join(begins, [key, "_part"]).withColumn("_nth", F.col("_begin") + F.col("_within") - 1)
+    once = rows.join(many, key, "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    return once.unionByName(numbered.select(*once.columns))
 
 
 def give_back() -> None:
@@ -77,7 +76,11 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18)
 
 
 class Texts:
-    """The words of a batch of texts as arrays over one UTF-8 buffer; null counts as empty."""
+    """The words of a batch of texts as arrays over one UTF-8 buffer; null counts as empty.
+
+    A slice holds about 256 KB of texts, and a longer text is a slice of its own. Beside its bytes it takes 7 bytes a
+    byte and some 30 a word, and hashes are taken in blocks: a text of 100 MB needs about 1.5 GB.
+    """
 
     _space = np.zeros(256, dtype=bool)
     _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -123,22 +126,18 @@ class Texts:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes with the flag each text has."""
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        out = np.zeros(self.n, dtype=np.int64)
+        some = self.offsets[1:] > self.offsets[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(flags.view(np.uint8), self.offsets[:-1][some], dtype=np.int64)
+        return out
 
     def word_hashes(self) -> np.ndarray:
         """64-bit hashes of the words: a polynomial over the bytes modulo 2^64, mixed with the length."""
         if self._hashes is None:
-            self._hashes = self._word_hashes()
+            self._hashes = run_hashes(self.bytes, self.starts, self.ends)
         return self._hashes
 
-    def _word_hashes(self) -> np.ndarray:
-        power, inverse = _powers(len(self.bytes) + 1)
-        with np.errstate(over="ignore"):
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[: len(self.bytes)], dtype=np.uint64)])
-            h = (run[self.ends] - run[self.starts]) * inverse[self.starts]
-            return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
     def windows(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text) of every run of k words, in order. short: a text of fewer words gives its whole sequence."""
         h = self.word_hashes()
@@ -160,24 +159,50 @@ class Texts:
         return out, docs
 
 
+_BASE = 0x5851F42D4C957F2D
+_BLOCK = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, up to the longest batch seen."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 9 << 17)
-        base = 0x5851F42D4C957F2D
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(n, b, dtype=np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, for the places of one block."""
+    if not _POWERS:
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            t = np.full(_BLOCK + 1, b, dtype=np.uint64)
             t[0] = 1
             with np.errstate(over="ignore"):
-                tables.append(np.cumprod(t, dtype=np.uint64))
-        _POWERS[:] = tables
+                _POWERS.append(np.cumprod(t, dtype=np.uint64))
     return _POWERS[0], _POWERS[1]
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs values[start:end]: polynomials modulo 2^64, mixed with the length.
+
+    starts ascend. Prefix sums are made a block at a time, so memory beside the runs doesn't grow with the values.
+    """
+    power, inverse = _powers()
+    out, shift = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    order = None if len(values) <= _BLOCK else np.argsort(ends, kind="stable")
+    sorted_ends = ends if order is None else ends[order]
+    carry, scale, back = 0, 1, 1
+    with np.errstate(over="ignore"):
+        for at in range(0, max(len(values), 1), _BLOCK):
+            part = values[at : at + _BLOCK].astype(np.uint64)
+            run = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part + np.uint64(1)) * power[: len(part)], dtype=np.uint64, out=run[1:])
+            run = run * np.uint64(scale) + np.uint64(carry)
+            if order is None:
+                out, shift = run[ends] - run[starts], inverse[starts]
+            else:
+                lo, hi = np.searchsorted(starts, (at, at + _BLOCK))
+                out[lo:hi] -= run[starts[lo:hi] - at]
+                shift[lo:hi] = inverse[starts[lo:hi] - at] * np.uint64(back)
+                lo, hi = np.searchsorted(sorted_ends, (at, at + _BLOCK), side="right")
+                out[order[lo:hi]] += run[sorted_ends[lo:hi] - at]
+            carry, scale, back = int(run[-1]), scale * int(power[_BLOCK]) % (1 << 64), back * int(inverse[_BLOCK]) % (1 << 64)
+        return mix(out * shift + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits (xor-shift and multiply)."""
     with np.errstate(over="ignore"):
@@ -259,25 +284,11 @@ def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable by links (a, b), for every node that has a link to another.
 
-    Tasks first contract their own links to stars; then large-star and small-star rounds alternate until
-    nothing changes, each written to the shared folder. Nothing is collected but one sum a round.
+    Tasks first contract their own links to stars; rounds of joins do the rest.
     """
-    now = materialize(map_arrow(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract_batches, "a long, b long").distinct())
-    before = None
-    while True:
-        both = now.select("a", "b").union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # Large star: larger neighbours go to the smallest of the neighbourhood.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # Small star: the node and its smaller neighbours go to the smallest of these.
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        now = materialize(small.where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
+    slim = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    stars = star_components(map_arrow(slim, _contract_batches, "a long, b long"))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

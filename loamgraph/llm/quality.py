@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import Texts, _powers, combine, map_arrow, materialize, mix, sliced, table
+from loamgraph.llm.common import Texts, combine, map_arrow, materialize, run_hashes, sliced, table
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
@@ -75,10 +75,7 @@ def _dup_lines(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     full = seen[ends] > seen[starts]
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(texts.offsets, starts, side="right") - 1
-    power, inverse = _powers(len(b) + 1)
-    with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)])
-        h = mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    h = run_hashes(b, starts, ends)
     order = np.lexsort((h, doc))
     again = np.zeros(len(h), dtype=bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])

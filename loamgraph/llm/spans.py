@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgraph.llm.common import Texts, _powers, map_arrow, mix, sliced, table
+from loamgraph.llm.common import Texts, map_arrow, run_hashes, sliced, table
 
 #: Sentences or pieces of a span, and words, at least.
 RUN, LEAST_WORDS = 3, 20
@@ -69,12 +69,8 @@ def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = np.flatnonzero(end <= per[doc[begin] + 1])
         pairs.append(begin[ok] * (n + 1) + stop[end[ok] - 1])
     first, end = np.divmod(np.unique(np.concatenate(pairs)).astype(np.int64), n + 1)
-    # Of a run, the words' hashes times powers by place.
-    power, inverse = _powers(n + 1)
     number = np.concatenate([[0], np.cumsum(both[1])])
-    with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.word_hashes() * power[:n], dtype=np.uint64)])
-        whole = mix((run[end] - run[first]) * inverse[first] + (end - first).astype(np.uint64))
+    whole = run_hashes(t.word_hashes(), first, end)
     text = doc[first]
     return whole, text, (number[first] - number[t.bounds[text]]) * LENGTHS + number[end] - number[first]
 
