@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ LENGTHS = 1 << 24
 LONG, CUT = 16, np.uint64(3)
 #: Pieces are cut so in sentences of any length, and after the least hash of every GAP words in a row without a cut.
 GAP = 9
+#: Spans a task holds before it tells which of them can't be first, and the tasks that share the others of one span.
+HELD, SALTS = 1 << 19, 1 << 16
 
 
 def ends_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +79,44 @@ def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans with their places. Of a span that HELD spans of the task have more than once, only the least place competes
+    for the first (salt 0), once; what comes after it is never first, and goes elsewhere by a salt."""
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        span = rows.column("span").to_numpy()
+        order = np.argsort(span, kind="stable")
+        same = span[order][1:] == span[order][:-1]
+        shared = np.zeros(len(span), dtype=bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        salt = np.zeros(len(span), dtype=np.int32)
+        if not shared.any():
+            return rows.append_column("salt", pa.array(salt)).to_batches()[0]
+        at = np.flatnonzero(shared)
+        some = rows.take(pa.array(at))
+        by = np.asarray(pc.sort_indices(some, sort_keys=[("span", "ascending"), ("doc_id", "ascending"), ("key", "ascending"), ("nth", "ascending")], null_placement="at_end"))
+        some, at = some.take(pa.array(by)), at[by]
+        code = np.asarray(some.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1))
+        columns = [some.column("span").to_numpy(), code, some.column("key").to_numpy(), some.column("nth").to_numpy()]
+        new = np.concatenate([[True], columns[0][1:] != columns[0][:-1]])
+        alike = np.concatenate([[False], np.all([c[1:] == c[:-1] for c in columns], axis=0)])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        salt[at] = np.where(new, 0, 1 + (np.arange(len(new)) - begin) % SALTS)
+        keep = np.ones(len(span), dtype=bool)
+        keep[at[alike]] = False  # rows that are there twice have equal places
+        return rows.append_column("salt", pa.array(salt)).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
     for batch in sliced(batches, "text"):
         h, doc, nth = spans(Texts(batch.column("text")))
-        doc = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(doc), batch.column("key").take(doc), pa.array(nth)], names=["span", "doc_id", "key", "nth"])
+        if len(h):
+            doc = pa.array(doc)
+            held.append(pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(doc), batch.column("key").take(doc), pa.array(nth)], names=["span", "doc_id", "key", "nth"]))
+        if sum(x.num_rows for x in held) >= HELD:
+            yield told(held)
+    if held:
+        yield told(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +189,17 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and a hash of the text. Different texts of one doc_id, or without one, are cut each by
     what it repeats; the smallest hash is first, null ids after all others. Rows that repeat a doc_id and its text are cut
-    alike; of equal texts without a doc_id the others lose what the first one has said.
+    alike; of equal texts without a doc_id the others lose what the first one has said. An empty table gives no rows, other
+    columns are not read, and a text of any length is cut whole, by one task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = F.xxhash64("text")
     # 32 bits tell the few texts of one id apart, and keep the shuffle small.
     key = F.when(F.col("doc_id").isNull(), whole).otherwise(whole.bitwiseAND(F.lit((1 << 32) - 1)))
-    found = map_arrow(docs.select("doc_id", "text", key.alias("key")), _emit, f"span long, doc_id {kind}, key long, nth long")
+    found = map_arrow(docs.select("doc_id", "text", key.alias("key")), _emit, f"span long, doc_id {kind}, key long, nth long, salt int")
     # All but the first place of each span; equal rows have equal places.
-    nth = F.rank().over(Window.partitionBy("span").orderBy(F.asc_nulls_last("doc_id"), "key", "nth"))
-    again = found.withColumn("rank", nth).where("rank > 1")
+    nth = F.rank().over(Window.partitionBy("span", "salt").orderBy(F.asc_nulls_last("doc_id"), "key", "nth"))
+    again = found.withColumn("rank", nth).where("salt > 0 or rank > 1")
     by_row = again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("nth")).alias("found"))
     nulls = docs.where("doc_id is null").groupBy("text").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"))
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.lit(1).cast("long").alias("copies")).union(nulls.select("doc_id", "text", "copies"))
@@ -171,4 +209,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup() of all documents; nulls, repeated rows and the rest as it says."""
     return dedup(table(spark, sf_dir, "documents"))
