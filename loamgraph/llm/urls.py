@@ -25,10 +25,12 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: Names by which sites of the unwanted kinds are labelled; the trees see shapes and suffixes, not this list.
+#: Names by which sites of the unwanted kinds are labelled where no labels are given; the trees see shapes and suffixes,
+#: not this list.
 UNWANTED = ("adult", "ads", "bet", "bets", "casino", "cash", "cheap", "click", "escort", "free", "loan", "loans", "lottery", "pills", "poker", "porn", "promo", "replica", "sex", "slots", "spam", "track", "viagra", "win", "xxx")
-#: Bound of the labelled rows taken from the table, by hash order.
+#: Bound of the labelled URLs that are learnt from, about, by hash.
 MOST_LABELLED = 20_000
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 NAMES = (
     "url_length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio",
@@ -73,7 +75,7 @@ def _parts(url: str) -> tuple[str, str, str]:
     cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
     tail = rest[cut:].split("#", 1)[0]
     p, _, q = tail.partition("?")
-    return rest[:cut].lower(), p, q
+    return rest[:cut].translate(_LOWER), p, q
 
 
 def suffixes(h: str) -> dict[str, list[str]]:
@@ -186,20 +188,33 @@ def labelled_urls(n: int = 3000, seed: int = 3) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, most: int = MOST_LABELLED) -> Trees:
-    """From the rule-made URLs and at most `most` of the table's, first in hash order, labelled by their names."""
-    some = pages.where("url is not null").select("url").orderBy(F.xxhash64("url"), "url").limit(most)
-    urls = sorted(r[0] for r in some.collect()) + labelled_urls()
-    return fit(urls, np.array([label(u) for u in urls]))
+def labelled(pages: DataFrame) -> DataFrame:
+    """(url, y): the URLs of a table without labels, labelled by the names in their hosts (1: unwanted)."""
+    part = F.split(host(F.col("url")), r"[.\-_\d]+")
+    return pages.where("url is not null").select("url", F.arrays_overlap(part, F.array(*[F.lit(n) for n in UNWANTED])).cast("int").alias("y"))
+
+
+def train(known: DataFrame, most: int = MOST_LABELLED, made: bool = True) -> Trees:
+    """Trees for labelled URLs (url, y), about `most` of the distinct ones, by hash, with those made by rule beside them.
+
+    Null URLs and labels are left out, a URL labelled twice has its higher label, and an empty table leaves the rule's.
+    """
+    known = known.where("url is not null and y is not null")
+    share = min(1.0, most / max(1, known.count()))
+    part = F.pmod(F.xxhash64("url"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = known.where(part < share).groupBy("url").agg(F.max("y").alias("y"))
+    rows = sorted(map(tuple, some.collect())) + ([(u, label(u)) for u in labelled_urls()] if made else [])
+    return fit([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64))
 
 
 def judge(pages: DataFrame, model: Trees | None = None, rules=RULES, at_least: float = 0.5) -> DataFrame:
     """page_id, url, host, path, rule, unwanted (the trees' probability) and verdict of every URL.
 
     A null URL, or one without ://, has empty host and path, fits no rule and is judged by the trees on its
-    empty parts. Repeated rows get equal verdicts; other columns are not read.
+    empty parts. A URL of any length is judged whole. Repeated rows get equal verdicts, null ids stay null, an empty table
+    gives no rows; other columns are not read.
     """
-    model = model or train(pages)
+    model = model or train(labelled(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,4 +231,5 @@ def judge(pages: DataFrame, model: Trees | None = None, rules=RULES, at_least: f
 
 
 def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all pages by RULES and by trees learnt from the table's own URLs and the rule's."""
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "unwanted")
