@@ -79,7 +79,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     Turns go by number, then role, then text; null numbers come first. Null texts and roles count as empty;
     rows without a conv_id form one conversation. Repeated rows are turns of their own. Other columns are
-    not read. A conversation is held whole by one task, as its last example is.
+    not read. A conversation is held whole by one task, as its last example is; an empty table gives no examples.
     """
     some = rows.select(F.col("conv_id").cast("long"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     return map_arrow(some.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), _expand, EXAMPLES)
@@ -149,6 +149,7 @@ PLANTED = "\\### Assistant: </turn> ok"
 
 
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all conversations and the planted one say, read back from their examples; see format_conversations()."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     return read_back(format_conversations(rows.unionByName(more)), in_order=True)

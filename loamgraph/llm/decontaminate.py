@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamgraph.llm.common import Texts, map_arrow, mix, sliced, table, unique_per_text
 
@@ -118,12 +119,15 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_shingles, found): every document with at least CONTAINED of an item's shingles.
 
     Shingles are SHINGLE words in a row, A-Z lower-cased, as a set over the whole document. Items of fewer words
-    than a shingle are too short to tell and match nothing; null texts match nothing. Repeated rows give
-    repeated pairs. Without items or documents the result is empty. The MinHash search can miss a pair whose
-    shingles lie scattered over the document; where they stand together, 16 hashes miss less than one in 10^6.
+    have no shingle and match nothing: one or four words are in clean documents too. Null texts match nothing. Repeated
+    rows of either side give repeated pairs, null ids stay null, ids are of any type, and other columns are not read.
+    Without items or documents the result is empty. A document of any length is searched whole, by one task. The MinHash
+    search can miss a pair whose shingles lie scattered over the document; where they stand together, 16 hashes miss
+    less than one in 10^6.
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, item_shingles long, found long"
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for items in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
@@ -133,7 +137,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in sliced(batches, "text"):
                 hits = it.search(batch.column("text"))
                 d = pa.array([x[0] for x in hits], pa.int64())
-                ids = pa.array([it.ids[x[1]] for x in hits], pa.int64()) if hits else pa.array([], pa.int64())
+                ids = pa.array([it.ids[x[1]] for x in hits], id_type)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(d), ids, pa.array([int(it.size[x[1]]) for x in hits], pa.int64()), pa.array([x[2] for x in hits], pa.int64())], names=["doc_id", "item_id", "item_shingles", "found"])
 
         part = map_arrow(docs.select("doc_id", "text"), run, schema)
@@ -142,7 +146,10 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, in all their columns, that hold no test item; they are filtered where they lie."""
+    """The documents, in all their columns, that hold no test item; they are filtered where they lie.
+
+    Null and empty texts hold none and stay, repeated rows go or stay together; the rest is as search() says.
+    """
     spark = docs.sparkSession
     for items in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
@@ -158,10 +165,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search() of all documents for the benchmark's items."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """clean() by the benchmark's items: a document that holds one goes."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -388,7 +388,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text (the main text) and n_chars of every page.
 
     A null or empty page, and one without content, gives an empty text. The whole page is read; broken
-    markup is parsed as far as it goes. Rows are independent, so repeated rows give repeated results.
+    markup is parsed as far as it goes. Rows are independent, so repeated rows give repeated results; null ids and
+    URLs stay null, an empty table gives no rows, and other columns are not read. A page of any length is read by one task.
     """
     model = model or default_model()
 
@@ -401,4 +402,5 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op9_dom_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of all pages by the default model."""
     return extract(table(spark, sf_dir, "pages"))

@@ -175,7 +175,8 @@ def fit_on(rows: DataFrame) -> dict:
 def judge(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     """Base measures, base_failed, quality (posterior probability) and kept of every document.
 
-    A null or empty text has no words, so it fails. Repeated rows get equal verdicts. An empty table gives none.
+    A null or empty text has no words, so it fails. Repeated rows get equal verdicts, null ids stay null, an empty table
+    gives none, and columns other than doc_id and text are not read. A text of any length is measured whole, by one task.
     """
     spark = docs.sparkSession
     rows = materialize(measured(docs))
@@ -187,12 +188,16 @@ def judge(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents."""
     got = judge(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept, in all their columns; texts are measured twice and never shuffled."""
+    """The documents that are kept, in all their columns; texts are measured twice and never shuffled.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     known = fit_on(measured(docs))["posterior"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
