@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,5 +29,34 @@ def stem(token: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits but the stopwords, stemmed."""
+    return F.transform(plain_words(text), stem)
+
+
+def words_of(text: str) -> list[str]:
+    """A short text's words in plain Python: lower-case runs of letters and digits but the stopwords."""
+    letters = "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in text.lower())
+    return [w for w in letters.split() if w not in STOPWORDS]
+
+
+def stem_of(word: str) -> str:
+    """stem() of one word in plain Python."""
+    cut = lambda w, n: len(w.encode()) - n >= LEAST_STEM
+    word = next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and cut(word, len(s))), word)
+    return word[:-1] if word.endswith("e") and cut(word, 1) else word
+
+
+def terms_of(query: str) -> list[str]:
+    """The distinct stems of a query, in order."""
+    return list(dict.fromkeys(map(stem_of, words_of(query))))
+
+
+def forms_of(term: str) -> list[str]:
+    """All words with this stem: a stem only loses a listed ending and a last e, so they are few."""
+    tried = [term + e + s for e in ("", "e") for s in ("", *SUFFIXES)]
+    return [w for w in tried if stem_of(w) == term and w not in STOPWORDS]
+
+
+def plain_words(text: Column) -> Column:
+    """tokens() before they are stemmed."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
-    return F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS)), stem)
+    return F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loamgraph.functions.text import tokens
+from loamgraph.functions.text import forms_of, plain_words, stem, terms_of, tokens
+from loamgraph.operators.storage import kept
 
 SATURATION, LENGTH_PENALTY = 1.2, 0.75
 
@@ -19,19 +20,23 @@ SATURATION, LENGTH_PENALTY = 1.2, 0.75
 def bm25(rows: DataFrame, query: str) -> DataFrame:
     """(id, lexical) over all candidate rows (id, text): BM25 over the best score, 0 where no word is shared.
 
-    One pass counts each row's query words and length; the corpus figures are one row, so nothing else is
-    shuffled. Words said twice in the query count once.
+    Texts are read once, to each row's length and counts of the query's words; these slim rows are stored, and the corpus
+    figures and the best score are one row each. Words said twice in the query count once. Only the forms a stem can come
+    from are looked for, so no word of a text is stemmed.
     """
-    spark = rows.sparkSession
-    terms = sorted({t for t in spark.range(1).select(tokens(F.lit(query))).first()[0]})
+    terms = terms_of(query)
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("lexical"))
 
-    def said(term: str) -> Column:
-        return F.size(F.filter("w", lambda w: w == term))
+    def said(i: int) -> Column:
+        forms = forms_of(terms[i])
+        return F.size(F.filter("w", lambda w: w.isin(forms))).cast("double").alias(f"f{i}")
 
-    words = rows.select("id", tokens(F.col("text")).alias("w"))
-    counted = words.select("id", F.size("w").cast("double").alias("n"), *(said(t).cast("double").alias(f"f{i}") for i, t in enumerate(terms)))
+    # An inner sub-plan of its own keeps the words from being split once a term.
+    words = rows.select("id", plain_words(F.col("text")).alias("w")).withColumn("w", F.explode(F.array("w")))
+    counted = kept(words.select("id", F.size("w").cast("double").alias("n"), *map(said, range(len(terms)))))
     corpus = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms)))).first()
-    if not terms or not corpus["docs"] or not corpus["mean"]:
+    if not corpus["docs"] or not corpus["mean"]:
         return rows.select("id", F.lit(0.0).alias("lexical"))
 
     def part(i: int) -> Column:
@@ -109,12 +114,17 @@ def nearest_each(rows: DataFrame, queries: DataFrame, take: int) -> DataFrame:
     return scored.withColumn("place", place).where(F.col("place") <= take).drop("place")
 
 
+def covered(title: Column, query: str) -> Column:
+    """The share of a title's distinct stems that the query names."""
+    forms = [w for t in terms_of(query) for w in forms_of(t)]
+    words = F.array_distinct(tokens(title))
+    named = F.size(F.array_distinct(F.transform(F.filter(plain_words(title), lambda w: w.isin(forms)), stem))) if forms else F.lit(0)
+    return F.when(F.size(words) > 0, named / F.size(words)).otherwise(F.lit(0.0))
+
+
 def coverage(rows: DataFrame, query: str) -> DataFrame:
     """rows with `coverage`: the share of the title's distinct stems that the query names."""
-    terms = rows.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]
-    words = F.array_distinct(tokens(F.col("title")))
-    named = F.filter(words, lambda w: w.isin(terms))
-    return rows.withColumn("coverage", F.when(F.size(words) > 0, F.size(named) / F.size(words)).otherwise(F.lit(0.0)))
+    return rows.withColumn("coverage", covered(F.col("title"), query))
 
 
 def weight(types: dict[str, float], paths: dict[str, float]) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from loamgraph.functions import scalars
 from loamgraph.functions.text import STOPWORDS
 from loamgraph.operators import aggregate, rank
 from loamgraph.plans import catalog_graph
@@ -11,6 +14,7 @@ from loamgraph.plans.filter import query
 from loamgraph.sources.graph import Graph
 
 FLAGSHIP = "f_chain_sorted"
+EVENTS_NOW = datetime(2024, 1, 31)
 LEXICAL = "the thing and nation"
 
 
@@ -32,6 +36,10 @@ def _bm25(spark, sf):
     return rank.bm25(docs, LEXICAL).where("lexical > 0").select("id", F.round("lexical", 6).alias("lexical"))
 
 
+def _regex(spark, sf):
+    return Graph(spark, sf).table("part").where(scalars.regexp("^(small|large) .*e", F.col("p_name"))).select("p_partkey")
+
+
 def _cosine(spark, sf):
     vectors = Graph(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     first = vectors.where("id = 0").first()
@@ -50,12 +58,30 @@ QUERIES = {
     "p05_typed_range": _ids('type=order o_totalprice=100000..200000 o_orderpriority>=3'),
     "p03_not_null_false": _ids("type=customer NOT c_mktsegment=BUILDING"),
     "p07_presence": _ids("p_size=*"),
-    "p09_list_holds": _ids("words=* type=part"),
+    "p08_list_item": _ids("type=part words~=green"),
+    "p09_list_holds": _ids("type=part words=[small, green]"),
+    "p09_list_lacks": _ids("type=part words!=[small, green]"),
+    "p05_untyped": _ids("type=event k>50 k<=80"),
+    "p05_untyped_text": _ids('type=event k="7" OR type=event k!=7 user_id<20'),
+    "p11_bool": _ids("type=order urgent=true o_totalprice>200000"),
+    "p14_regex": _regex,
+    "p15_modified_since": lambda spark, sf: query(Graph(spark, sf, EVENTS_NOW), "type=event modified-since=36h").select("id"),
+    "p15_modified_on": _ids("modified-since=2001-06-01 type=order"),
+    "p17_datetime": _ids("type=event at>=2024-01-20T12:00:00Z"),
+    "p20_names_path": _ids("type=page names-path=the/inner"),
+    "p21_names_glob": _ids("names-path:mentions=th*"),
+    "p21_names_not": _ids("type=page names-path!=th*"),
+    "p12_any_property": _ids("s_acctbal>9000 OR label=3"),
+    "j09_inverse": _ids("nations->title=NATION_3"),
+    "j07_max_depth": _ids("tree:places=region/1"),
+    "t01_enum_sorted": lambda spark, sf: query(Graph(spark, sf), "type=order o_totalprice>150000", sort="o_orderpriority,-o_totalprice", take=30, skip=5).select("id"),
+    "a01_count": lambda spark, sf: query(Graph(spark, sf), "type=order o_orderstatus=F placed-by->c_mktsegment=BUILDING", files_only=True).agg(F.count("*").alias("n")),
+    "a02_group_by_json": lambda spark, sf: aggregate.count_by_json(query(Graph(spark, sf), "type=event"), "k"),
     "p13_path_glob": _ids("path=customer/1?.md OR path=nation/**"),
     "j01_edge_probe": _ids("type=customer placed-by<-"),
     "j02_edge_to_node": _ids("type=order placed-by->c_acctbal<0"),
     "j02_or_mark": _ids("type=customer (c_acctbal>9000 OR in-nation->title=NATION_3)"),
-    "j03_anti_join": _ids("type=customer NOT placed-by<-"),
+    "j03_anti_join": _ids("type=order NOT placed-by->c_acctbal<9000"),
     "j04_unbounded_walk": _ids("parent->+id=region/2"),
     "j04_bounded_walk": _ids("next->{2,4}id=customer/7"),
     "j06_parent": _ids("parent=nation/3"),
@@ -69,6 +95,7 @@ QUERIES = {
     "r05_cosine_all": _cosine_all,
 } | catalog_graph.QUERIES
 
+_MENTIONS = "m AS (SELECT DISTINCT 'page/' || page_id AS id, trim(unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)), '/') AS target FROM pages)"
 _TOKENS = f"""
 w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{Nd}}]+')) AS w FROM documents),
 f AS (SELECT doc_id, w FROM w WHERE w <> '' AND w NOT IN ({", ".join(f"'{s}'" for s in STOPWORDS)})),
@@ -77,16 +104,34 @@ t AS (SELECT doc_id, CASE WHEN w LIKE '%e' AND strlen(w) > 3 THEN left(w, length
 
 ORACLE_SQL = {
     FLAGSHIP: "SELECT 'order/' || o_orderkey AS id, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'O' AND o_totalprice > 100000 AND n_name = 'NATION_1' ORDER BY o_totalprice DESC, 'order/' || o_orderkey LIMIT 20",
-    "a05_status": "SELECT 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'order', count(*) FROM orders UNION ALL SELECT 'doc', count(*) FROM documents",
+    "a05_status": "SELECT 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'order', count(*) FROM orders UNION ALL SELECT 'doc', count(*) FROM documents UNION ALL SELECT 'event', count(*) FROM events UNION ALL SELECT 'page', count(*) FROM pages UNION ALL SELECT 'vec', count(*) FROM embeddings",
     "p05_typed_range": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')",
     "p03_not_null_false": "SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'",
     "p07_presence": "SELECT 'part/' || p_partkey AS id FROM part WHERE p_size IS NOT NULL",
-    "p09_list_holds": "SELECT 'part/' || p_partkey AS id FROM part WHERE p_name IS NOT NULL",
+    "p08_list_item": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_contains(string_split(p_name, ' '), 'green')",
+    "p09_list_holds": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_has_all(string_split(p_name, ' '), ['small', 'green'])",
+    "p09_list_lacks": "SELECT 'part/' || p_partkey AS id FROM part WHERE NOT coalesce(list_has_all(string_split(p_name, ' '), ['small', 'green']), false)",
+    "p05_untyped": "SELECT 'event/' || event_id AS id FROM events WHERE (props->>'$.k')::BIGINT > 50 AND (props->>'$.k')::BIGINT <= 80",
+    "p05_untyped_text": "SELECT 'event/' || event_id AS id FROM events WHERE user_id < 20",
+    "p11_bool": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000",
+    "p14_regex": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(small|large) .*e')",
+    "p15_modified_since": "SELECT 'event/' || event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-29 12:00:00'",
+    "p15_modified_on": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'",
+    "p17_datetime": "SELECT 'event/' || event_id AS id FROM events WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-20 12:00:00'",
+    "p20_names_path": f"WITH {_MENTIONS} SELECT DISTINCT id FROM m WHERE target IN ('the', 'the/inner')",
+    "p21_names_glob": f"WITH {_MENTIONS} SELECT DISTINCT id FROM m WHERE regexp_matches(target, '^th[^/]*$')",
+    "p21_names_not": f"WITH {_MENTIONS} SELECT 'page/' || page_id AS id FROM pages WHERE 'page/' || page_id NOT IN (SELECT id FROM m WHERE regexp_matches(target, '^th[^/]*$'))",
+    "p12_any_property": "SELECT 'supplier/' || s_suppkey AS id FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'vec/' || vec_id FROM embeddings WHERE label = 3",
+    "j09_inverse": "SELECT DISTINCT 'region/' || n_regionkey AS id FROM nation WHERE n_name = 'NATION_3'",
+    "j07_max_depth": "SELECT 'nation/' || n_nationkey AS id FROM nation WHERE n_regionkey = 1",
+    "t01_enum_sorted": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_totalprice > 150000 ORDER BY o_orderpriority, o_totalprice DESC, 'order/' || o_orderkey LIMIT 30 OFFSET 5",
+    "a01_count": "SELECT count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'",
+    "a02_group_by_json": "SELECT props->>'$.k' AS value, count(*) AS n FROM events GROUP BY 1",
     "p13_path_glob": "SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_custkey BETWEEN 10 AND 19 UNION ALL SELECT 'nation/' || n_nationkey FROM nation",
     "j01_edge_probe": "SELECT DISTINCT 'customer/' || c_custkey AS id FROM customer JOIN orders ON o_custkey = c_custkey",
     "j02_edge_to_node": "SELECT 'order/' || o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0",
     "j02_or_mark": "SELECT 'customer/' || c_custkey AS id FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9000 OR coalesce(n_name = 'NATION_3', false)",
-    "j03_anti_join": "SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "j03_anti_join": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 9000)",
     "j04_unbounded_walk": "SELECT 'nation/' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'customer/' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2",
     "j04_bounded_walk": "SELECT 'customer/' || k AS id FROM (SELECT DISTINCT ((6 - s + (SELECT max(c_custkey) FROM customer)) % (SELECT max(c_custkey) FROM customer) + 1)::BIGINT AS k FROM (SELECT unnest([2, 3, 4]) AS s))",
     "j06_parent": "SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_nationkey = 3",

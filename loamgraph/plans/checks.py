@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import analytics
 from loamgraph.plans.filter import matching
-from loamgraph.sources.graph import ENUMS, TYPES, Graph
+from loamgraph.sources.graph import Graph
 
 # Which kinds are errors; the others are warnings.
 ERRORS = ("dangling-edge", "edge-type-violation", "edge-cardinality-violation", "edge-cycle", "type-mismatch", "required-missing", "enum-violation")
@@ -49,10 +49,11 @@ def cyclic(edges: DataFrame, kind: str, severity: str = "error") -> DataFrame:
 
 def properties(graph: Graph, kind: str, required: list[str] = ()) -> DataFrame:
     """Required properties without a value, and values an enum doesn't list, of one node type."""
-    declared = TYPES[kind].properties
+    declared = graph.manifest.types[kind].properties
     nodes = graph.nodes([kind])
+    required = [*required, *(p for p, d in declared.items() if d.required and p not in required)]
     found = [F.when(F.col(p).isNull(), F.struct(F.lit("required-missing").alias("kind"), F.lit(p).alias("name"))) for p in required]
-    found += [F.when(~F.col(p).isin(list(ENUMS[p])), F.struct(F.lit("enum-violation").alias("kind"), F.lit(p).alias("name"))) for p, k in declared.items() if k == "enum"]
+    found += [F.when(~F.col(p).isin(list(d.values)), F.struct(F.lit("enum-violation").alias("kind"), F.lit(p).alias("name"))) for p, d in declared.items() if d.kind == "enum"]
     if not found:
         return issue(nodes.limit(0), "required-missing", F.col("id"), F.lit(""))
     rows = nodes.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
