@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 # Where chunks are cut, the best first, and sizes in bytes.
 CUTS = (b"\n## ", b"\n### ", b"\n\n", b"\n", b". ", b" ")
 TARGET, MOST, OVERLAP = 1600, 4000, 200
+# Fixed value: bytes of a passage, at most.
+PASSAGE = 2048
 # Words of a query that don't place a snippet.
 QUIET = frozenset(
     "a an and are as at be but by do does for from has have how i in is it its no not of on or that the to was what when where which who why will with you your".split()
@@ -80,6 +82,64 @@ def snippets(text: Column, query: str, most: int = 200) -> Column:
     return run(text)
 
 
+def all_snippets(texts: Column, query: str, most: int = 200) -> Column:
+    """snippets() of an array of texts."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ts: [snippet(t, query, most) for t in ts])
+
+    return run(texts)
+
+
+def passage(text: str, spans: list[tuple[int, int]], best: int, limit: int = PASSAGE) -> tuple[str, int, int]:
+    """The lines, counted from 1, of the best span and of whole spans beside it, as long as all fit in `limit` bytes: first
+    the one after, then the one before, in turn. A best span that doesn't fit gives its first lines that do, or the
+    beginning of its first line up to a word's end."""
+    lines = text.replace("\r\n", "\n").split("\n")
+
+    def joined(low: int, high: int) -> tuple[str, int, int]:
+        first, last = min(s[0] for s in spans[low : high + 1]), max(s[1] for s in spans[low : high + 1])
+        return "\n".join(lines[first - 1 : last]).rstrip(), first, last
+
+    def size(t: str) -> int:
+        return len(t.encode())
+
+    got = joined(best, best)
+    if size(got[0]) > limit:
+        first, last = spans[best]
+        while last > first and size("\n".join(lines[first - 1 : last]).rstrip()) > limit:
+            last -= 1
+        whole = "\n".join(lines[first - 1 : last]).rstrip()
+        if size(whole) <= limit:
+            return whole, first, last
+        cut = whole.encode()[:limit].decode(errors="ignore")
+        return (cut[: cut.rindex(" ")] if " " in cut else cut) + "…", first, first
+    low = high = best
+    grown = True
+    while grown:
+        grown = False
+        for a, b in ((low, high + 1), (low - 1, high)):
+            a, b = min(a, low), max(b, high)
+            if 0 <= a and b < len(spans) and (a, b) != (low, high) and size((more := joined(a, b))[0]) <= limit:
+                low, high, got, grown = a, b, more, True
+    return got
+
+
+def passage_of(text: Column, spans: Column, best: Column, limit: int = PASSAGE) -> Column:
+    """passage() of each row as a struct of text, first and last; null where there is no text or no best span."""
+
+    @F.pandas_udf("text string, first int, last int")
+    def run(texts: pd.Series, all_spans: pd.Series, at: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, s, b in zip(texts, all_spans, at, strict=True):
+            fits = t is not None and s is not None and not pd.isna(b) and 0 <= b < len(s)
+            rows.append(passage(t, [tuple(x) for x in s], int(b), limit) if fits else (None, None, None))
+        return pd.DataFrame(rows, columns=["text", "first", "last"])
+
+    return run(text, spans, best)
+
+
 def heading_key(text: Column) -> Column:
     """Letters, digits and marks in lower case, all else one space."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}\p{M}]+", " "))

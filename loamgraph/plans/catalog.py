@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions import scalars
 from loamgraph.functions.text import STOPWORDS
 from loamgraph.operators import aggregate, rank
-from loamgraph.plans import catalog_graph
+from loamgraph.plans import catalog_graph, catalog_hybrid
 from loamgraph.plans.filter import query
 from loamgraph.sources.graph import Graph
 
@@ -58,9 +58,9 @@ QUERIES = {
     "p05_typed_range": _ids('type=order o_totalprice=100000..200000 o_orderpriority>=3'),
     "p03_not_null_false": _ids("type=customer NOT c_mktsegment=BUILDING"),
     "p07_presence": _ids("p_size=*"),
-    "p08_list_item": _ids("type=part words~=green"),
-    "p09_list_holds": _ids("type=part words=[small, green]"),
-    "p09_list_lacks": _ids("type=part words!=[small, green]"),
+    "p08_list_item": _ids("type=part words~=red"),
+    "p09_list_holds": _ids("type=part words=[small, widget]"),
+    "p09_list_lacks": _ids("type=part words!=[small, widget]"),
     "p05_untyped": _ids("type=event k>50 k<=80"),
     "p05_untyped_text": _ids('type=event k="7" OR type=event k!=7 user_id<20'),
     "p11_bool": _ids("type=order urgent=true o_totalprice>200000"),
@@ -93,7 +93,7 @@ QUERIES = {
     "r04_bm25": _bm25,
     "r05_cosine": _cosine,
     "r05_cosine_all": _cosine_all,
-} | catalog_graph.QUERIES
+} | catalog_graph.QUERIES | catalog_hybrid.QUERIES
 
 _MENTIONS = "m AS (SELECT DISTINCT 'page/' || page_id AS id, trim(unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)), '/') AS target FROM pages)"
 _TOKENS = f"""
@@ -108,9 +108,9 @@ ORACLE_SQL = {
     "p05_typed_range": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')",
     "p03_not_null_false": "SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'",
     "p07_presence": "SELECT 'part/' || p_partkey AS id FROM part WHERE p_size IS NOT NULL",
-    "p08_list_item": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_contains(string_split(p_name, ' '), 'green')",
-    "p09_list_holds": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_has_all(string_split(p_name, ' '), ['small', 'green'])",
-    "p09_list_lacks": "SELECT 'part/' || p_partkey AS id FROM part WHERE NOT coalesce(list_has_all(string_split(p_name, ' '), ['small', 'green']), false)",
+    "p08_list_item": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_contains(string_split(p_name, ' '), 'red')",
+    "p09_list_holds": "SELECT 'part/' || p_partkey AS id FROM part WHERE list_has_all(string_split(p_name, ' '), ['small', 'widget'])",
+    "p09_list_lacks": "SELECT 'part/' || p_partkey AS id FROM part WHERE NOT coalesce(list_has_all(string_split(p_name, ' '), ['small', 'widget']), false)",
     "p05_untyped": "SELECT 'event/' || event_id AS id FROM events WHERE (props->>'$.k')::BIGINT > 50 AND (props->>'$.k')::BIGINT <= 80",
     "p05_untyped_text": "SELECT 'event/' || event_id AS id FROM events WHERE user_id < 20",
     "p11_bool": "SELECT 'order/' || o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000",
@@ -149,4 +149,4 @@ ORACLE_SQL = {
     "SELECT doc_id AS id, round(raw / max(raw) OVER (), 6) AS lexical FROM s",
     "r05_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(v, q), 5) AS score FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20",
     "r05_cosine_all": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(v.v, q.v) AS c FROM v, v q WHERE q.vec_id % 100 = 0) SELECT query_id, id, round(c, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 20",
-} | catalog_graph.ORACLE_SQL
+} | catalog_graph.ORACLE_SQL | catalog_hybrid.ORACLE_SQL
