@@ -25,12 +25,12 @@ def walk(near: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(id, distance, cosine) of what is at most `hops` from the seeds (id, score); walked rows have cosine 0."""
     if hops < 1:
         raise ValueError("hops must be 1 or more")
-    reached = kept(seeds.groupBy("id").agg(F.lit(0).alias("distance"), F.max("score").cast("double").alias("cosine")))
+    reached = kept(seeds.groupBy("id").agg(F.lit(0).alias("distance"), F.max("score").cast("double").alias("cosine")), slim=True)
     for hop in range(1, hops + 1):
         last = reached.where(F.col("distance") == hop - 1).select("id")
         met = near.join(last, "id", "left_semi").select(F.col("other").alias("id")).distinct()
         new = met.join(reached, "id", "left_anti").select("id", F.lit(hop).alias("distance"), F.lit(0.0).alias("cosine"))
-        reached = kept(reached.union(new))
+        reached = kept(reached.union(new), slim=True)
     return reached
 
 
@@ -53,7 +53,7 @@ def blend(near: DataFrame, reached: DataFrame, weight: float = 0.2) -> DataFrame
     for d in range(2, farthest + 1):
         before = layer.where(F.col("distance") == d - 1).select(F.col("id").alias("other"), F.col("graph").alias("s"))
         beside = near.join(before, "other").groupBy("id").agg((F.avg("s") * weight).alias("graph"))
-        layer = kept(rows.where(F.col("distance") == d).join(beside, "id"))
+        layer = kept(rows.where(F.col("distance") == d).join(beside, "id"), slim=True)
         out = out.unionByName(layer)
     return out.withColumn("final", (1 - weight) * F.col("cosine") + weight * F.col("graph"))
 

@@ -23,10 +23,16 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+def kept(df: DataFrame, name: str = "kept", slim: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage is cut and any executor can reread it.
-    The files go when the application ends, or by drop()."""
+    The files go when the application ends, or by drop().
+
+    slim: rows of a few numbers, made by a short last stage; they are written by no more than twice the tasks that run
+    at once, so that rounds over small tables don't leave thousands of tiny files.
+    """
     spark = df.sparkSession
+    if slim:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path, system = _path(spark, at)

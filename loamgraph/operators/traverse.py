@@ -14,7 +14,7 @@ def reach(edges: DataFrame, far: DataFrame, least: int, most: int | None) -> Dat
     Bounded walks keep one set of ids a step, as a node may be met again; unbounded ones keep what is new
     once `least` steps are made, so cycles end.
     """
-    frontier = kept(far.select("id").distinct())
+    frontier = kept(far.select("id").distinct(), slim=True)
     found: DataFrame | None = None
     step = 0
     while most is None or step < most:
@@ -22,7 +22,7 @@ def reach(edges: DataFrame, far: DataFrame, least: int, most: int | None) -> Dat
         reached = edges.join(frontier, edges.target == frontier.id, "left_semi").select(F.col("source").alias("id")).distinct()
         if most is None and found is not None:
             reached = reached.join(found, "id", "left_anti")
-        frontier = kept(reached)
+        frontier = kept(reached, slim=True)
         if frontier.isEmpty():
             break
         if step >= least:
