@@ -28,7 +28,7 @@ def occurrences(rows: DataFrame, key: str) -> DataFrame:
     Which of them gets which number is open, so rows that share a key must be interchangeable. A key that a third of
     all rows have is numbered in as many parts as the rows lie in, each in a task of its own.
     """
-    many = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    many = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), slim=True)
     if many.isEmpty():
         return rows.withColumn("_nth", F.lit(0).cast("long"))
     again = materialize(rows.withColumn("_part", F.spark_partition_id()).join(many, key, "left_semi"))

@@ -123,17 +123,17 @@ def cuts(at: DataFrame) -> DataFrame:
 
     one = F.floor(F.col("k") * BINS).cast("int")
     two = (F.floor(F.col("k") * (BINS * BINS)) % BINS).cast("int")
-    level1 = materialize(slim.groupBy("key", one.alias("b1")).agg(F.sum("size").alias("words"), F.first("goal").alias("goal")))
+    level1 = materialize(slim.groupBy("key", one.alias("b1")).agg(F.sum("size").alias("words"), F.first("goal").alias("goal")), slim=True)
     all_in = level1.groupBy("key").agg((F.sum("words") < F.first("goal")).alias("all_in"))
-    cut1 = materialize(crossing(level1, ["b1"], F.lit(0)).select("key", "b1", (F.col("upto") - F.col("words")).alias("before")))
+    cut1 = materialize(crossing(level1, ["b1"], F.lit(0)).select("key", "b1", (F.col("upto") - F.col("words")).alias("before")), slim=True)
     in1 = slim.join(cut1, "key").where(one == F.col("b1"))
     level2 = in1.groupBy("key", two.alias("b2")).agg(F.sum("size").alias("words"), F.first("goal").alias("goal"), F.first("before").alias("before"), F.first("b1").alias("b1"))
-    cut2 = materialize(crossing(level2, ["b2"], F.col("before")).select("key", "b1", "b2", (F.col("upto") - F.col("words")).alias("before")))
+    cut2 = materialize(crossing(level2, ["b2"], F.col("before")).select("key", "b1", "b2", (F.col("upto") - F.col("words")).alias("before")), slim=True)
     # A rank at a time in the last bin: in if the words before it and half its own stay within the goal.
     last = slim.join(cut2, "key").where((one == F.col("b1")) & (two == F.col("b2"))).groupBy("key", "k").agg(F.sum("size").alias("words"), F.first("goal").alias("goal"), F.first("before").alias("before"))
     upto = F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     inside = last.withColumn("upto", upto).where(2 * F.col("upto") - F.col("words") <= 2 * F.col("goal")).groupBy("key").agg(F.max("k").alias("k_last"))
-    return materialize(all_in.join(cut2.drop("before"), "key", "left").join(inside, "key", "left"))
+    return materialize(all_in.join(cut2.drop("before"), "key", "left").join(inside, "key", "left"), slim=True)
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 7, share: float = 1.0) -> DataFrame:
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 7, share:
     Columns other than doc_id, text and source are not read. Texts of any length are counted where they lie.
     """
     rows = occurrences(materialize(drawn(docs, F.col("doc_id"))), "_row")
-    at = ranked(rows, materialize(expected(source_targets(rows, weights, most, share), most)), seed)
+    at = ranked(rows, materialize(expected(source_targets(rows, weights, most, share), most), slim=True), seed)
     return take(at, cuts(at)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -166,7 +166,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Nulls, empty texts, repeated rows and empty tables are as mix() says; a document that isn't taken is left out.
     """
     slim = materialize(drawn(docs))
-    sources = materialize(expected(source_targets(slim)))
+    sources = materialize(expected(source_targets(slim)), slim=True)
     cut = cuts(ranked(occurrences(slim, "_row"), sources, 7))
     at = ranked(occurrences(drawn(docs, F.struct("*").alias("d")), "_row"), sources, 7)
     taken = take(at, cut).where("copies > 0")

@@ -98,7 +98,7 @@ def assign(slim: DataFrame, n_shards: int, slots: int = SLOTS, maps: str | None
     slots. Both small sides are bounded: by n_shards and by slots. Rows that repeat are placed each; an empty table
     gives no rows and an empty map; columns beside those of sized() go through.
     """
-    slotted = with_slots(slim, materialize(spread_groups(slim, n_shards)), slots)
+    slotted = with_slots(slim, materialize(spread_groups(slim, n_shards), slim=True), slots)
     slot_map = mapped(slotted, n_shards, maps, version)
     return slotted.join(F.broadcast(slot_map.drop("version")), "virtual_slot"), slot_map
 
@@ -135,7 +135,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("virtual_slot", "shard")]
     slim = materialize(sized(docs))
-    spread = materialize(spread_groups(slim, SHARDS))
+    spread = materialize(spread_groups(slim, SHARDS), slim=True)
     slot_map = mapped(with_slots(slim, spread), SHARDS)
     slotted = with_slots(sized(docs, F.struct(*rest).alias("_d")), spread)
     return slotted.join(F.broadcast(slot_map.drop("version")), "virtual_slot").select("_d.*", "virtual_slot", "shard")

@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     documents that share it one is taken. Null ids, labels and texts are left out. Without labels the model is constant.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    known = materialize(known)
+    known = materialize(known, slim=True)
     there = dict(known.groupBy("y").count().collect())
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = known.where(F.when(F.col("y") == 1, part < most_toxic / max(1, there.get(1, 0))).otherwise(part < most_clean / max(1, there.get(0, 0))))
