@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.components import star_components
-from loamgraph.operators.storage import kept
+from loamgraph.operators.storage import drop, kept
+from loamgraph.operators.traverse import reach
 
-#: Rounds that take nodes without an incoming or outgoing edge away before cycles are looked for.
-TRIM_ROUNDS = 3
+#: Edges of a group that one task works on; larger groups are made smaller by rounds of joins first.
+RESIDUE = 1_000_000
+#: Rounds of moves between two contractions, and contractions at most.
+MOVES, LEVELS = 8, 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -58,23 +62,27 @@ def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
 
 
 def _moved(links: list[dict[int, float]], strength: list[float], total: float, resolution: float) -> list[int]:
-    """One level of modularity optimisation: nodes in order join the neighbouring group that gains most, until
-    none moves; the lower group wins a tie, and staying wins over a tie."""
-    group, held = list(range(len(links))), list(strength)
-    again = True
-    while again:
-        again = False
-        for v, near in enumerate(links):
-            into: dict[int, float] = defaultdict(float)
-            for u, w in near.items():
-                into[group[u]] += w
-            home = group[v]
-            held[home] -= strength[v]
-            pull = lambda g: into.get(g, 0.0) - resolution * strength[v] * held[g] / total  # noqa: B023, E731
-            best = max([home, *sorted(g for g in into if g != home)], key=pull)
-            held[best] += strength[v]
-            if best != home:
-                group[v], again = best, True
+    """One level of modularity optimisation. Node v gains links(v, g) - resolution * strength(v) * strength(g) / total by being
+    in group g; nodes go where they gain most, in turn, until none would move. The lower group wins a tie, staying over all."""
+    group, weight_of = list(range(len(links))), dict(enumerate(strength))
+    todo = deque(range(len(links)))
+    waiting = set(todo)
+    while todo:
+        v = todo.popleft()
+        waiting.discard(v)
+        into = Counter({group[v]: 0.0})
+        for u, w in links[v].items():
+            into[group[u]] += w
+        weight_of[group[v]] -= strength[v]
+        gain = {g: w - resolution * strength[v] * weight_of[g] / total for g, w in into.items()}
+        best = min(gain, key=lambda g: (-gain[g], g != group[v], g))  # noqa: B023
+        weight_of[best] += strength[v]
+        if best != group[v]:
+            group[v] = best
+            # Only what is next to a move can gain by it.
+            again = [u for u in sorted(links[v]) if group[u] != best and u not in waiting]
+            todo.extend(again)
+            waiting.update(again)
     return group
 
 
@@ -113,23 +121,73 @@ def modularity_groups(pairs: list[tuple[str, str, float]], total: float, resolut
     return {x: least[g] for x, g in zip(names, where, strict=True)}
 
 
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def _level(pairs: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, community) of a graph (source, target, w) by rounds of moves over joins: each node of a round's half, drawn by
+    hash, joins the neighbouring community that gains most, if that gains over staying."""
+    both = pairs.where("source <> target").select(F.col("source").alias("id"), F.col("target").alias("other"), "w")
+    both = kept(both.union(both.select(F.col("other").alias("id"), F.col("id").alias("other"), "w")), slim=True)
+    ends = pairs.select(F.explode(F.array("source", "target")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("strength"))
+    now = kept(ends.withColumn("community", F.col("id")), slim=True)
+    for k in range(MOVES):
+        held = now.groupBy("community").agg(F.sum("strength").alias("held"))
+        near = both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
+        mine = now.select("id", "strength", F.col("community").alias("home"))
+        tried = near.union(now.select("id", "community", F.lit(0.0))).groupBy("id", "community").agg(F.sum("w").alias("w")).join(mine, "id").join(held, "community")
+        others = F.col("held") - F.when(F.col("community") == F.col("home"), F.col("strength")).otherwise(0.0)
+        gain = F.col("w") - resolution * F.col("strength") * others / total
+        # Of equal gains home comes first, then the smallest community.
+        rank = F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("home")).alias("away"), "community")).alias("best")
+        best = tried.groupBy("id").agg(rank, F.first("strength").alias("strength"), F.first("home").alias("home"))
+        half = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        later = kept(best.select("id", "strength", F.when(half, F.col("best.community")).otherwise(F.col("home")).alias("community"), (half & (F.col("best.community") != F.col("home"))).alias("moved")), slim=True)
+        drop(now)
+        now = later.drop("moved")
+        now._kept_at = later._kept_at
+        if k and later.where("moved").isEmpty():
+            break
+    return now.select("id", "community")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, residue: int = RESIDUE) -> DataFrame:
     """(id, community) for every end of an edge (source, target[, weight]); a community is its smallest id.
 
-    Communities don't cross components, so each component is a task's work; the total weight is that of the
-    whole graph. A component must fit into a task.
+    Communities don't cross components. As long as a component has more than `residue` edges, rounds of moves over joins
+    and a contraction of what they grouped make the graph smaller; then each component is a task's work. The total
+    weight is that of the whole graph.
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    pairs = edges.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum(weight).alias("w"))
-    pairs = kept(pairs)
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return kept(rows.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum("w").alias("w")), slim=True)
+
+    pairs = folded(edges.select("source", "target", weight.alias("w")))
     total = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
-    grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
+    inside: DataFrame | None = None  # (id, node): what each first node has become
+    for _ in range(LEVELS):
+        grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
+        most = grouped.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if most <= residue:
+            break
+        level = kept(_level(pairs, total, resolution), slim=True)
+        inside = level.withColumnRenamed("community", "node") if inside is None else inside.join(level.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node"))
+        inside = kept(inside, slim=True)
+        s, t = level.select(F.col("id").alias("source"), F.col("community").alias("s")), level.select(F.col("id").alias("target"), F.col("community").alias("t"))
+        smaller = folded(pairs.join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "w"))
+        if smaller.count() == pairs.count():
+            pairs = smaller
+            grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
+            break
+        pairs = smaller
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         got = modularity_groups(list(zip(frame.source, frame.target, frame.w, strict=True)), total, resolution)
         return pd.DataFrame({"id": list(got), "community": list(got.values())})
 
-    return grouped.groupBy("component").applyInPandas(run, "id string, community string")
+    last = grouped.groupBy("component").applyInPandas(run, "id string, community string")
+    if inside is None:
+        return last
+    joined = kept(inside.join(last.withColumnRenamed("id", "node"), "node").select("id", "community"), slim=True)
+    return joined.join(joined.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
 
 
 def keep_labels(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -180,23 +238,115 @@ def strongly_connected(pairs: Iterator[tuple[str, str]]) -> list[list[str]]:
     return found
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def _shortened(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """left without a set of nodes of one way in and one way out, no two of them neighbours, bridged by an edge each; and
+    these: (node, before, after)."""
+    ways_in = left.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("before")).where("n = 1").drop("n")
+    ways_out = left.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.min("target").alias("after")).where("n = 1").drop("n")
+    thin = ways_in.join(ways_out, "node").where("node <> before and node <> after")
+    draw = lambda c: F.xxhash64(F.col(c), F.lit("draw"))
+    # A local minimum of the draws has no neighbour that is one.
+    gone = kept(thin.where((draw("node") < draw("before")) & (draw("node") < draw("after"))), slim=True)
+    stay = left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target")
+    return kept(stay.union(gone.select(F.col("before").alias("source"), F.col("after").alias("target"))).distinct(), slim=True), gone
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """(id, cycle) of the strongly connected groups that hold the smallest id reaching them: forward from each node its
+    smallest id spreads, and what the owner of an id can be reached from, of its colour, is its group."""
+    now = kept(left.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("colour", F.col("id")), slim=True)
+    while True:
+        offered = left.join(now.withColumnRenamed("id", "source"), "source").groupBy("target").agg(F.min("colour").alias("c"))
+        later = kept(now.join(offered.withColumnRenamed("target", "id"), "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("new")), slim=True)
+        done = later.where("new").isEmpty()
+        drop(now)
+        now = later
+        if done:
+            break
+    now = now.select("id", "colour")
+    same = left.join(now.select(F.col("id").alias("source"), "colour"), "source").join(now.select(F.col("id").alias("target"), F.col("colour").alias("c")), "target").where("colour = c").select("source", "target", "colour")
+    same = kept(same, slim=True)
+    found = kept(now.where("id = colour"), slim=True)
+    frontier = found
+    while not frontier.isEmpty():
+        back = same.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"), "colour").distinct()
+        frontier = kept(back.join(found, "id", "left_anti"), slim=True)
+        found = kept(found.union(frontier), slim=True)
+    return found.select("id", F.col("colour").alias("cycle"))
+
+
+def cycles(edges: DataFrame, residue: int = RESIDUE) -> DataFrame:
     """(id, cycle): nodes on a directed cycle, with the smallest id of their strongly connected group.
 
-    Nodes without a way in or out are taken away first for TRIM_ROUNDS rounds; what stays is dealt by weak
-    component, which must fit into a task.
+    While more than `residue` edges are left, rounds of joins make the graph smaller: nodes without a way in or out go,
+    nodes of one way in and one way out are bridged, and where that no longer helps the groups of each component's
+    smallest id are found by colouring and taken out. One task finds the groups of the rest, and the bridged nodes join
+    the group that they lie between, in the reverse order.
     """
-    left = kept(edges.select("source", "target").distinct())
-    for _ in range(TRIM_ROUNDS):
+    every = kept(edges.select("source", "target").distinct(), slim=True)
+    loops = every.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("cycle"))
+    left, bridged, found = every.where("source <> target"), [], []
+    size = left.count()
+    while size > residue:
         has_in, has_out = left.select(F.col("target").alias("source")).distinct(), left.select(F.col("source").alias("target")).distinct()
-        left = kept(left.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi").select("source", "target"))
-    dealt = left.join(components(left).withColumnRenamed("id", "source"), "source")
+        left = kept(left.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi").select("source", "target"), slim=True)
+        left, gone = _shortened(left)
+        bridged.append(gone)
+        closed = left.where("source = target")
+        # A bridge from a node to itself: a cycle of the two.
+        found.append(kept(closed.select(F.col("source").alias("id"), F.col("source").alias("cycle")), slim=True))
+        left = left.where("source <> target")
+        after = left.count()
+        if after > 0.9 * size:
+            groups = _coloured(left)
+            groups = kept(groups.join(groups.groupBy("cycle").count().where("count > 1"), "cycle", "left_semi"), slim=True)
+            found.append(groups.select("id", "cycle"))
+            a, b = groups.select(F.col("id").alias("source"), F.col("cycle").alias("s")), groups.select(F.col("id").alias("target"), F.col("cycle").alias("t"))
+            # A found group becomes one node: no cycle goes through it any more, but paths do.
+            marked = left.join(a, "source", "left").join(b, "target", "left").select(F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target"))
+            left = kept(marked.where("source <> target").distinct(), slim=True)
+            after = left.count()
+        size = after
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = [p for frame in frames for p in zip(frame.source, frame.target, strict=True)]
+        yield pd.DataFrame([(x, g[0]) for g in strongly_connected(pairs) for x in g], columns=["id", "cycle"])
+
+    rest = left.repartition(1).mapInPandas(run, "id string, cycle string")  # at most `residue` edges
+    got = kept(reduce(DataFrame.union, found, rest.union(loops)).groupBy("id").agg(F.min("cycle").alias("cycle")), slim=True)
+    for gone in reversed(bridged):
+        a = got.select(F.col("id").alias("before"), F.col("cycle").alias("a"))
+        b = got.select(F.col("id").alias("after"), F.col("cycle").alias("b"))
+        between = gone.join(a, "before").join(b, "after").where("a = b").select(F.col("node").alias("id"), F.col("a").alias("cycle"))
+        got = kept(got.union(between).groupBy("id").agg(F.min("cycle").alias("cycle")), slim=True)
+    return got.join(got.groupBy("cycle").agg(F.min("id").alias("least")), "cycle").select("id", F.col("least").alias("cycle"))
+
+
+def shortest_cycle(edges: DataFrame, start: str) -> list[str]:
+    """A shortest cycle through a node as the list of its ids, the smallest way on a tie; empty if it is on none."""
+    step, ways = 0, [edges.where(F.col("source") == start).select(F.col("target").alias("id"), F.col("source").alias("before")).distinct()]
+    seen = kept(ways[0].groupBy("id").agg(F.min("before").alias("before")), slim=True)
+    layers = [seen]
+    while seen.where(F.col("id") == start).isEmpty():
+        step += 1
+        ahead = edges.join(layers[-1].select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("before"))
+        layers.append(kept(ahead.join(seen, "id", "left_anti"), slim=True))
+        if layers[-1].isEmpty():
+            return []
+        seen = kept(seen.union(layers[-1]), slim=True)
+    path, at = [], start
+    for layer in reversed(layers):
+        at = layer.where(F.col("id") == at).first()["before"]
+        path.append(at)
+    return path[::-1]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(x, g[0]) for g in strongly_connected(zip(frame.source, frame.target, strict=True)) for x in g]
-        return pd.DataFrame(rows, columns=["id", "cycle"])
 
-    return dealt.groupBy("component").applyInPandas(run, "id string, cycle string")
+def closes_cycle(edges: DataFrame, source: str, target: str) -> bool:
+    """Whether an edge from source to target would close a cycle."""
+    if source == target:
+        return True
+    near = reach(edges.select("source", "target"), edges.sparkSession.createDataFrame([(source,)], "id string"), 1, None)
+    return not near.where(F.col("id") == target).isEmpty()
 
 
 def pooled(vectors: DataFrame) -> DataFrame:

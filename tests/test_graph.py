@@ -5,7 +5,7 @@ import pytest
 from loamgraph.functions import passages, temporal
 from loamgraph.operators import analytics, expand
 from loamgraph.plans import catalog, checks
-from loamgraph.plans.filter import FilterError, query
+from loamgraph.plans.filter import FilterError, parse, query, validate
 from loamgraph.sources.graph import Graph
 from loamgraph.streaming import changes
 
@@ -28,7 +28,8 @@ def test_spans():
 
 def test_hints_and_shapes(spark):
     g = Graph(spark, SF)
-    for text in ("p_sise=3", "placed-bi->", "words>a type=part", "o_orderdate>today-5x"):
+    assert "mean 'p_size'" in validate(parse("p_sise=3"), strict=True)[0]
+    for text in ("placed-bi->", "words>a type=part", "o_orderdate>today-5x"):
         with pytest.raises(FilterError) as e:
             query(g, text)
         assert "mean" in str(e.value) or "list" in str(e.value) or "relative" in str(e.value)
