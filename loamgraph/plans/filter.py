@@ -507,7 +507,11 @@ class Compiler:
             return has if c.op == "=" else ~has
         if c.op == "~=" or isinstance(c.value, list):
             wanted = c.value if isinstance(c.value, list) else [c.value]
-            holds = [F.when(is_list, F.exists(items, lambda x, w=w: equals(x, F.schema_of_variant(x), w, False))).otherwise(equals(value, kind, w, False)) for w in wanted]
+
+            def held(want: str) -> Column:
+                return F.when(is_list, F.exists(items, lambda x: equals(x, F.schema_of_variant(x), want, False))).otherwise(equals(value, kind, want, False))
+
+            holds = [held(w) for w in wanted]
             both = reduce(lambda a, b: a & b, [F.coalesce(h, F.lit(False)) for h in holds])
             return ~both if c.op == "!=" else both
         if c.op in ("=", "!=") and isinstance(c.value, str):
