@@ -167,7 +167,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, places in every.items():
             take(i, places)
             # In batches of about a slice.
-            most, left = 1 + (1 << 18) // (1 + len(texts[-1])), int(copies[i]) - 1
+            most, left = 1 + (1 << 18) // (1 + len(texts[-1] or "")), int(copies[i]) - 1
             while left:
                 n = min(most, left)
                 yield _rows(ids.take(pa.array([i] * n)), np.repeat(n_sentences[i], n), cut[-1:] * n, words[-1:] * n, texts[-1:] * n)
