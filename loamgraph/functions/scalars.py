@@ -42,15 +42,6 @@ def fragment(link: Column) -> tuple[Column, Column]:
     return F.trim(F.when(at > 0, F.substring(bare, F.lit(1), at - 1)).otherwise(bare)), F.when(at > 0, F.substring(bare, at + 1, F.length(bare)))
 
 
-def path_candidate(text: Column) -> Column:
-    """Whether a whole span reads like a path of a workspace: names of letters, digits and ._-+@ between slashes, with a
-    slash or an ending, no scheme, no trailing dots, and not upwards only."""
-    name = r"[\p{L}\p{Nd}._+@-]+"
-    shape = rf"^(?:\./)?(?:{name}/)*{name}/?$"
-    ended = text.contains("/") | text.rlike(r"\.[A-Za-z][A-Za-z0-9]{0,9}$")
-    return F.coalesce(text.rlike(shape) & ended & ~text.contains("//") & ~text.rlike(r"(^|/)\.{2,}(/|$)|\.$|^[0-9.]+$"), F.lit(False))
-
-
 def path_clean(text: Column) -> Column:
     """A path without ./ before it, doubled slashes and slashes at its ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^(\./)+", ""), "/+", "/"), F.lit("/"))

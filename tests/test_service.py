@@ -11,7 +11,7 @@ from loamgraph.functions.text import forms_of, stem_of, terms_of, tokens
 from loamgraph.operators import hybrid, mutate, views
 from loamgraph.plans import checks, service
 from loamgraph.plans.filter import Compare, FilterError, Names, Not, Since, glob_pattern, matching, parse, query, validate
-from loamgraph.sources import manifest
+from loamgraph.sources import files, manifest, mentions
 from loamgraph.sources.graph import Frames, Graph
 from loamgraph.streaming import queue
 
@@ -284,7 +284,40 @@ def test_views_of_a_tree(spark, graph):
 def test_scalars(spark):
     row = spark.createDataFrame([("Page#A#B|shown", "./a//b/", "src/x.py", "not a path", "", None)], "l string, p string, c string, n string, e string, z string")
     page, rest = scalars.fragment(F.col("l"))
-    got = row.select(page, rest, scalars.path_clean(F.col("p")), scalars.path_candidate(F.col("c")), scalars.path_candidate(F.col("n")), scalars.regexp("^a", F.col("z")), scalars.header(F.lit("T"), F.array(F.lit("h"), F.col("z"), F.col("e"))), scalars.block_key(F.lit("Ab")), scalars.payload(F.lit("body"), F.lit("T"), "title", prefix="{title}: ")).first()
-    assert tuple(got) == ("Page", "A#B", "a/b", True, False, None, "T > h", "^ab", "T: T\n\nbody")
+    got = row.select(page, rest, scalars.path_clean(F.col("p")), scalars.regexp("^a", F.col("z")), scalars.header(F.lit("T"), F.array(F.lit("h"), F.col("z"), F.col("e"))), scalars.block_key(F.lit("Ab")), scalars.payload(F.lit("body"), F.lit("T"), "title", prefix="{title}: ")).first()
+    assert tuple(got) == ("Page", "A#B", "a/b", None, "T > h", "^ab", "T: T\n\nbody")
     scalars.register(spark)
     assert spark.sql("select regexp_of('^a', 'abc') as x").first().x
+
+
+def test_mentions():
+    text = "see `src/x.py:12` and `Makefile`\n`not a path` [t](../up.md#h) ![i](img/a.png)\n```\n`src/no.py`\n```\n[out](../../x) [web](http://e.org/a) `a/b/`\n"
+    assert mentions.mentions("docs/n.md", text) == [("src/x.py", 1), ("Makefile", 1), ("up.md", 2), ("docs/img/a.png", 2), ("a/b", 6)]
+    page = "<p><code>src/x.py</code><pre><code>src/n.py</code></pre><a href='/top/y'>y</a><img src='i.png'>"
+    assert mentions.mentions("docs/p.html", page) == [("src/x.py", None), ("top/y", None), ("docs/i.png", None)]
+    assert [mentions.candidate(x) for x in ("a", "../a/b", "x=1.2", "...", "a//b/", "v1.2-x")] == [None, None, None, None, "a/b", "v1.2-x"]
+
+
+def test_lines():
+    source = "a\r\nb\u2028c\n".encode()
+    assert [mentions.Lines(source, s).line(len(source) - 1) for s in ("lf", "universal", "unicode")] == [2, 2, 3]
+    t = mentions.Lines(b"ab\ncd")
+    assert [t.offset(n) for n in (0, 1, 2, 3)] == [0, 0, 3, 5] and [t.line(i) for i in (0, 2, 3)] == [1, 1, 2]
+
+
+def test_ignored(spark):
+    patterns = mentions.ignore_pattern(["# c", "*.log", "!keep.log", "/build", "tmp/", "a/**/z"])
+    want = {".git/x": True, "x.log": True, "d/x.log": True, "d/keep.log": False, "build/o": True, "d/build": False, "d/tmp/q": True, "tmp": False, "a/z": True, "a/b/z": True, "b/a/z": False, "n.md": False}
+    rows = spark.createDataFrame([(p,) for p in want], "p string").select("p", mentions.ignored(F.col("p"), patterns).alias("i")).collect()
+    assert {r.p: r.i for r in rows} == want
+
+
+def test_links_led_anew(spark):
+    rows = [("a.md", "type: x", "---\ntype: note\n---\n[[b]] [[zz]]"), ("in/b.md", "", "---\ntype: note\n---\ntext `src/q.py`")]
+    source = spark.createDataFrame([(p, s, "h") for p, _, s in rows], "path string, source string, content_hash string")
+    nodes = files.parsed(source)
+    edges = spark.createDataFrame([("ref", "a", "old/b", "b"), ("ref", "a", "in/b", None), ("ref", "a", "zz", "zz")], "type string, source string, target string, link string")
+    assert sorted(r.target for r in mentions.relinked(edges, nodes).collect()) == ["in/b", "zz"]
+    assert [(r.id, r.target, r.line) for r in mentions.path_refs(source).collect()] == [("in/b", "src/q.py", 4)]
+    units = spark.createDataFrame([("in/b#P1",), ("no#P1",)], "id string")
+    assert {r.id: r.file_type for r in mentions.with_files(units, nodes).collect()} == {"in/b#P1": "note", "no#P1": None}
