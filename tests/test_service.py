@@ -9,7 +9,7 @@ from loamgraph.functions import scalars
 from loamgraph.functions.passages import passage
 from loamgraph.functions.text import forms_of, stem_of, terms_of, tokens
 from loamgraph.operators import hybrid, mutate, views
-from loamgraph.plans import checks, service
+from loamgraph.plans import behaviors, checks, service
 from loamgraph.plans.filter import Compare, FilterError, Names, Not, Since, glob_pattern, matching, parse, query, validate
 from loamgraph.sources import files, manifest, mentions
 from loamgraph.sources.graph import Frames, Graph
@@ -321,3 +321,17 @@ def test_links_led_anew(spark):
     assert [(r.id, r.target, r.line) for r in mentions.path_refs(source).collect()] == [("in/b", "src/q.py", 4)]
     units = spark.createDataFrame([("in/b#P1",), ("no#P1",)], "id string")
     assert {r.id: r.file_type for r in mentions.with_files(units, nodes).collect()} == {"in/b#P1": "note", "no#P1": None}
+
+
+def test_behaviours(spark):
+    nodes = spark.createDataFrame([("a", "task", "open"), ("b", "note", None)], "id string, type string, state string")
+    edges = spark.createDataFrame([], "type string, source string, target string, kind string, position int")
+    seen = []
+    pack = behaviors.workflow("flow", "task", "state", {"open": ["done"], "done": []}, ["open"])
+    pack.reactors["node"] = [lambda before, after: seen.append((before.count(), after.count()))]
+    write = lambda rows, **k: behaviors.write_nodes([pack], nodes, edges, spark.createDataFrame(rows, nodes.schema), edges, **k)
+    assert {r.id: r.state for r in write([("a", "task", "done")])[0].collect()} == {"a": "done", "b": None}
+    for rows in ([("a", "task", "odd")], [("c", "task", "done")], [("a", "task", None)]):
+        with pytest.raises(mutate.Refused):
+            write(rows)
+    assert write([("c", "task", "open")], create=True)[0].count() == 3 and seen == [(1, 1), (0, 1)]
