@@ -192,11 +192,12 @@ def _trained(column: pa.Array, labels: np.ndarray, seed: int, passes: tuple[int,
             for b in range(0, len(chosen), 256):
                 part = chosen[b : b + 256]
                 lens = end[part] - first[part]
-                ws = word[_spread(first[part], lens)]
-                grams = at[ws + 1] - at[ws]
-                gi = ids[_spread(at[ws], grams)]
-                vec = np.add.reduceat(emb[gi], np.concatenate([[0], np.cumsum(grams)[:-1]]), axis=0) / grams[:, None]
-                win = np.add.reduceat(vec, np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0) / WINDOW
+                # Each word of the batch is looked up once.
+                own, place = np.unique(word[_spread(first[part], lens)], return_inverse=True)
+                grams = at[own + 1] - at[own]
+                gi = ids[_spread(at[own], grams)]
+                vec = np.add.reduceat(emb[gi], np.concatenate([[0], np.cumsum(grams)[:-1]]), axis=0) / grams[:, None].astype(np.float32)
+                win = np.add.reduceat(vec[place], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0) / WINDOW
                 z = win @ out.T + bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
@@ -209,9 +210,12 @@ def _trained(column: pa.Array, labels: np.ndarray, seed: int, passes: tuple[int,
                 bias -= 0.1 * g.mean(axis=0)
                 out2 += g_out**2
                 out -= 0.2 * g_out / np.sqrt(out2)
-                per_gram = np.repeat(np.repeat(back, lens, axis=0) / grams[:, None], grams, axis=0)
-                hit, where = np.unique(gi, return_inverse=True)
-                grad = np.stack([np.bincount(where, per_gram[:, d], minlength=len(hit)) for d in range(DIM)], axis=1).astype(np.float32)
+                order = np.argsort(place, kind="stable")
+                of_word = np.add.reduceat(np.repeat(back, lens, axis=0)[order], np.searchsorted(place[order], np.arange(len(own))), axis=0)
+                order = np.argsort(gi, kind="stable")
+                new = np.flatnonzero(np.concatenate([[True], gi[order][1:] != gi[order][:-1]]))
+                hit = gi[order][new]
+                grad = np.add.reduceat(np.repeat(of_word / grams[:, None].astype(np.float32), grams, axis=0)[order], new, axis=0)
                 emb2[hit] += (grad**2).mean(axis=1)
                 emb[hit] -= 0.1 * grad / np.sqrt(emb2[hit])[:, None]
     return model()
