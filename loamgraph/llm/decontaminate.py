@@ -121,9 +121,9 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Shingles are SHINGLE words in a row, A-Z lower-cased, as a set over the whole document. Items of fewer words
     have no shingle and match nothing: one or four words are in clean documents too. Null texts match nothing. Repeated
     rows of either side give repeated pairs, null ids stay null, ids are of any type, and other columns are not read.
-    Without items or documents the result is empty. A document of any length is searched whole, by one task. The MinHash
-    search can miss a pair whose shingles lie scattered over the document; where they stand together, 16 hashes miss
-    less than one in 10^6.
+    Without items or documents the result is empty. A document of any length is searched whole, by one task. Where an
+    item's shingles stand together, the 16 hashes miss less than one in 10^6; scattered in pieces over the document they
+    can be missed, though CONTAINED leaves pieces so long that none of 900 tried was.
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, item_shingles long, found long"

@@ -294,3 +294,19 @@ def test_containment_of_short_items_in_long_documents(spark):
             if s and 5 * len(s & shingles(t, 5)) >= 4 * len(s):
                 want[d, i] += 1
     assert got == want and want["di5", "i5"] == want[None, "i17"] == 1
+
+
+@pytest.mark.parametrize("n", [15, 38, 100])
+def test_containment_of_scattered_items(n):
+    """Items cut into as many pieces as 0.8 allows, in any order and far apart."""
+    rnd = random.Random(n)
+    words = lambda k: [f"v{rnd.randint(0, 10**7)}" for _ in range(k)]
+    items, docs = [words(n) for _ in range(60)], []
+    for item in items:
+        cuts = sorted(rnd.sample(range(5, n - 5), (n - 4) // 20))
+        pieces = [item[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        rnd.shuffle(pieces)
+        docs.append(" ".join(words(200) + [w for p in pieces for w in p + words(rnd.randint(100, 400))]))
+    found = {(d, i) for d, i, _ in decontaminate.Items(list(range(60)), pa.array([" ".join(x) for x in items])).search(pa.array(docs))}
+    want = {(k, k) for k in range(60) if 5 * len(shingles(" ".join(items[k]), 5) & shingles(docs[k], 5)) >= 4 * (n - 4)}
+    assert found == want and len(want) > 30
