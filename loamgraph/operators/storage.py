@@ -28,11 +28,11 @@ def kept(df: DataFrame, name: str = "kept", slim: bool = False) -> DataFrame:
     The files go when the application ends, or by drop().
 
     slim: rows of a few numbers, made by a short last stage; they are written by no more than twice the tasks that run
-    at once, so that rounds over small tables don't leave thousands of tiny files.
+    at once, or a sixteenth of the shuffle's partitions, so that rounds over small tables don't leave thousands of tiny files.
     """
     spark = df.sparkSession
     if slim:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path, system = _path(spark, at)

@@ -102,6 +102,9 @@ f AS (SELECT doc_id, w FROM w WHERE w <> '' AND w NOT IN ({", ".join(f"'{s}'" fo
 c AS (SELECT doc_id, CASE {" ".join(f"WHEN w LIKE '%{s}' AND strlen(w) - {len(s)} >= 3 THEN left(w, length(w) - {len(s)})" for s in "ingly edly ing ers er ed ly es s".split())} ELSE w END AS w FROM f),
 t AS (SELECT doc_id, CASE WHEN w LIKE '%e' AND strlen(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS w FROM c)"""
 
+_TITLES = _TOKENS.replace("SELECT doc_id, unnest", "SELECT p_partkey AS doc_id, unnest").replace("coalesce(text, '')", "coalesce(p_name, '')").replace("FROM documents", "FROM part")
+_NAMED = "count(DISTINCT w) FILTER (w IN ('small', 'green', 'thing'))"
+
 ORACLE_SQL = {
     FLAGSHIP: "SELECT 'order/' || o_orderkey AS id, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'O' AND o_totalprice > 100000 AND n_name = 'NATION_1' ORDER BY o_totalprice DESC, 'order/' || o_orderkey LIMIT 20",
     "a05_status": "SELECT 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'order', count(*) FROM orders UNION ALL SELECT 'doc', count(*) FROM documents UNION ALL SELECT 'event', count(*) FROM events UNION ALL SELECT 'page', count(*) FROM pages UNION ALL SELECT 'vec', count(*) FROM embeddings",
@@ -147,6 +150,7 @@ ORACLE_SQL = {
     "df AS (SELECT w, count(*)::DOUBLE AS df FROM h GROUP BY w), "
     "s AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM h JOIN df USING (w) JOIN n USING (doc_id) CROSS JOIN g GROUP BY doc_id) "
     "SELECT doc_id AS id, round(raw / max(raw) OVER (), 6) AS lexical FROM s",
+    "x07_title_match": f"WITH {_TITLES} SELECT 'part/' || doc_id AS id, round({_NAMED}::DOUBLE / count(DISTINCT w), 6) AS coverage FROM t GROUP BY doc_id HAVING {_NAMED} > 0",
     "r05_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(v, q), 5) AS score FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20",
     "r05_cosine_all": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(v.v, q.v) AS c FROM v, v q WHERE q.vec_id % 100 = 0) SELECT query_id, id, round(c, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 20",
 } | catalog_graph.ORACLE_SQL | catalog_hybrid.ORACLE_SQL | catalog_views.ORACLE_SQL
