@@ -1,8 +1,8 @@
-"""The ten operators over the test tables; SQL where it can express them."""
+"""The dealt operators over the test tables; SQL where it can express them."""
 
 from __future__ import annotations
 
-from loamgraph.llm import chat, decontaminate, html, jaccard, mixing, quality, sharding, spans, toxicity, urls
+from loamgraph.llm import chat, decontaminate, discriminant, html, jaccard, mixing, quality, sharding, spans, toxicity, trie, urls, whitening
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_prefix_targets": chat.op8_prefix_targets,
     "op9_dom_tree_model": html.op9_dom_tree_model,
     "op10_subword_softmax": toxicity.op10_subword_softmax,
+    "op11_pointer_jumping": trie.op11_pointer_jumping,
+    "op12_quadratic_discriminant": discriminant.op12_quadratic_discriminant,
+    "op13_subspace_iteration": whitening.op13_subspace_iteration,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op5_prefix_tree_join": jaccard.SQL,
     "op6_minhash_containment": decontaminate.SQL,
     "op8_prefix_targets": chat.SQL,
+    "op11_pointer_jumping": trie.SQL,
 }
