@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +11,8 @@ from loamgraph.operators.components import star_components
 from loamgraph.operators.storage import drop, kept
 from loamgraph.operators.traverse import reach
 
-#: Edges of a group that one task works on; larger groups are made smaller by rounds of joins first.
-RESIDUE = 1_000_000
-#: Rounds of moves between two contractions, and contractions at most.
-MOVES, LEVELS = 8, 12
+#: Rounds of moves on one level, and levels, at most.
+MOVES, LEVELS = 32, 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,133 +56,89 @@ def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
     return marked.select("id", F.coalesce("group", "ancestor").alias("ancestor"))
 
 
-def _moved(links: list[dict[int, float]], strength: list[float], total: float, resolution: float) -> list[int]:
-    """One level of modularity optimisation. Node v gains links(v, g) - resolution * strength(v) * strength(g) / total by being
-    in group g; nodes go where they gain most, in turn, until none would move. The lower group wins a tie, staying over all."""
-    group, weight_of = list(range(len(links))), dict(enumerate(strength))
-    todo = deque(range(len(links)))
-    waiting = set(todo)
-    while todo:
-        v = todo.popleft()
-        waiting.discard(v)
-        into = Counter({group[v]: 0.0})
-        for u, w in links[v].items():
-            into[group[u]] += w
-        weight_of[group[v]] -= strength[v]
-        gain = {g: w - resolution * strength[v] * weight_of[g] / total for g, w in into.items()}
-        best = min(gain, key=lambda g: (-gain[g], g != group[v], g))  # noqa: B023
-        weight_of[best] += strength[v]
-        if best != group[v]:
-            group[v] = best
-            # Only what is next to a move can gain by it.
-            again = [u for u in sorted(links[v]) if group[u] != best and u not in waiting]
-            todo.extend(again)
-            waiting.update(again)
-    return group
-
-
-def modularity_groups(pairs: list[tuple[str, str, float]], total: float, resolution: float = 1.0) -> dict[str, str]:
-    """Louvain's method on one component; a group is named by its smallest id. total: twice the weight of all edges."""
-    names = sorted({x for a, b, _ in pairs for x in (a, b)})
-    at = {x: i for i, x in enumerate(names)}
-    links: list[dict[int, float]] = [defaultdict(float) for _ in names]
-    strength = [0.0] * len(names)
-    for a, b, w in pairs:
-        i, j = at[a], at[b]
-        strength[i] += w
-        strength[j] += w
-        if i != j:
-            links[i][j] += w
-            links[j][i] += w
-    where = list(range(len(names)))
-    while True:
-        group = _moved(links, strength, total, resolution)
-        rank = {g: k for k, g in enumerate(dict.fromkeys(group))}
-        if len(rank) == len(links):
-            break
-        where = [rank[group[v]] for v in where]
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in rank]
-        summed = [0.0] * len(rank)
-        for v, near in enumerate(links):
-            g = rank[group[v]]
-            summed[g] += strength[v]
-            for u, w in near.items():
-                if rank[group[u]] != g:
-                    merged[g][rank[group[u]]] += w
-        links, strength = merged, summed
-    least: dict[int, str] = {}
-    for x, g in zip(names, where, strict=True):
-        least.setdefault(g, x)
-    return {x: least[g] for x, g in zip(names, where, strict=True)}
-
-
-def _level(pairs: DataFrame, total: float, resolution: float) -> DataFrame:
-    """(id, community) of a graph (source, target, w) by rounds of moves over joins: each node of a round's half, drawn by
-    hash, joins the neighbouring community that gains most, if that gains over staying."""
-    both = pairs.where("source <> target").select(F.col("source").alias("id"), F.col("target").alias("other"), "w")
-    both = kept(both.union(both.select(F.col("other").alias("id"), F.col("id").alias("other"), "w")), slim=True)
-    ends = pairs.select(F.explode(F.array("source", "target")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("strength"))
-    now = kept(ends.withColumn("community", F.col("id")), slim=True)
+def _moves(both: DataFrame, now: DataFrame, total: float, resolution: float) -> tuple[DataFrame, bool]:
+    """now (id, strength, community) after rounds of moves along both (id, other, w), each edge in both directions, and whether
+    any was made.
+
+    Each round finds for every node the neighbouring community that gains most modularity over staying. Of the nodes that
+    would move, those go whose lot, drawn by hash for the round, is the highest among their neighbours that would, too: no
+    two neighbours move at once, as if colours took turns. It ends when no node would move, or in a cycle of equal gains.
+    """
+    now, last, any_moved = kept(now, slim=True), None, False
     for k in range(MOVES):
         held = now.groupBy("community").agg(F.sum("strength").alias("held"))
         near = both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
         mine = now.select("id", "strength", F.col("community").alias("home"))
-        tried = near.union(now.select("id", "community", F.lit(0.0))).groupBy("id", "community").agg(F.sum("w").alias("w")).join(mine, "id").join(held, "community")
+        tried = near.unionByName(now.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        tried = tried.join(mine, "id").join(held, "community")
         others = F.col("held") - F.when(F.col("community") == F.col("home"), F.col("strength")).otherwise(0.0)
-        gain = F.col("w") - resolution * F.col("strength") * others / total
+        gain = F.round(F.col("w") - resolution * F.col("strength") * others / total, 9)
         # Of equal gains home comes first, then the smallest community.
-        rank = F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("home")).alias("away"), "community")).alias("best")
-        best = tried.groupBy("id").agg(rank, F.first("strength").alias("strength"), F.first("home").alias("home"))
-        half = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
-        later = kept(best.select("id", "strength", F.when(half, F.col("best.community")).otherwise(F.col("home")).alias("community"), (half & (F.col("best.community") != F.col("home"))).alias("moved")), slim=True)
-        drop(now)
-        now = later.drop("moved")
-        now._kept_at = later._kept_at
-        if k and later.where("moved").isEmpty():
+        best = F.min(F.struct((-gain).alias("loss"), (F.col("community") != F.col("home")).alias("away"), "community")).alias("best")
+        wanted = tried.groupBy("id").agg(best, F.first("home").alias("home")).where("best.away").select("id", F.col("best.community").alias("community"), F.xxhash64("id", F.lit(k)).alias("lot"))
+        wanted = kept(wanted, slim=True)
+        n = wanted.count()
+        if not n or last is not None and n >= last and k > MOVES // 2:
+            drop(wanted)
             break
-    return now.select("id", "community")
+        last, any_moved = n, True
+        beside = both.join(wanted.select("id", "lot"), "id").select("other", "lot").groupBy(F.col("other").alias("id")).agg(F.max("lot").alias("most"))
+        going = wanted.join(beside, "id", "left").where("most is null or lot > most").select("id", F.col("community").alias("to"))
+        later = kept(now.join(going, "id", "left").select("id", "strength", F.coalesce("to", "community").alias("community")), slim=True)
+        drop(now)
+        drop(wanted)
+        now = later
+    return now, any_moved
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, residue: int = RESIDUE) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, community) for every end of an edge (source, target[, weight]); a community is its smallest id.
 
-    Communities don't cross components. As long as a component has more than `residue` edges, rounds of moves over joins
-    and a contraction of what they grouped make the graph smaller; then each component is a task's work. The total
-    weight is that of the whole graph.
+    Modularity is raised level by level: rounds of moves over joins, then the groups they made, as far as they hang together,
+    become the nodes of the next level, until no level groups anything. A last pass moves single nodes between the final
+    groups. Any graph is worked on in the same way, and no group of nodes is ever one task's. Edges between two nodes add
+    up whichever way they lead; loops count for their node's strength only.
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
 
     def folded(rows: DataFrame) -> DataFrame:
         return kept(rows.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.sum("w").alias("w")), slim=True)
 
-    pairs = folded(edges.select("source", "target", weight.alias("w")))
-    total = 2 * (pairs.agg(F.sum("w")).first()[0] or 0.0)
-    inside: DataFrame | None = None  # (id, node): what each first node has become
-    for _ in range(LEVELS):
-        grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
-        most = grouped.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-        if most <= residue:
+    def two_way(pairs: DataFrame) -> DataFrame:
+        one = pairs.where("source <> target").select(F.col("source").alias("id"), F.col("target").alias("other"), "w")
+        return kept(one.union(one.select(F.col("other").alias("id"), F.col("id").alias("other"), "w")), slim=True)
+
+    def strengths(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("source", "target")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("strength"))
+
+    def connected(pairs: DataFrame, level: DataFrame) -> DataFrame:
+        """level (id, community) with each community cut into its connected parts, named by their smallest id."""
+        of = lambda end: level.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+        inner = pairs.where("source <> target").join(of("source"), "source").join(of("target"), "target").where("c_source = c_target")
+        return level.select("id").join(components(inner.select("source", "target")), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
+
+    first = folded(edges.where("source is not null and target is not null").select("source", "target", weight.alias("w")))
+    total = 2 * (first.agg(F.sum("w")).first()[0] or 0.0)
+    if not total:
+        return strengths(first).select("id", F.col("id").alias("community"))
+    strength = kept(strengths(first), slim=True)
+    pairs, inside, both_first = first, strength.select("id", F.col("id").alias("node")), two_way(first)
+    for level_no in range(LEVELS):
+        both = two_way(pairs) if level_no else both_first
+        moved, any_moved = _moves(both, strengths(pairs).withColumn("community", F.col("id")), total, resolution)
+        if not any_moved:
             break
-        level = kept(_level(pairs, total, resolution), slim=True)
-        inside = level.withColumnRenamed("community", "node") if inside is None else inside.join(level.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node"))
-        inside = kept(inside, slim=True)
-        s, t = level.select(F.col("id").alias("source"), F.col("community").alias("s")), level.select(F.col("id").alias("target"), F.col("community").alias("t"))
-        smaller = folded(pairs.join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "w"))
-        if smaller.count() == pairs.count():
-            pairs = smaller
-            grouped = pairs.join(components(pairs).withColumnRenamed("id", "source"), "source")
+        level = kept(connected(pairs, moved.select("id", "community")), slim=True)
+        if level.where("id <> community").isEmpty():
             break
-        pairs = smaller
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = modularity_groups(list(zip(frame.source, frame.target, frame.w, strict=True)), total, resolution)
-        return pd.DataFrame({"id": list(got), "community": list(got.values())})
-
-    last = grouped.groupBy("component").applyInPandas(run, "id string, community string")
-    if inside is None:
-        return last
-    joined = kept(inside.join(last.withColumnRenamed("id", "node"), "node").select("id", "community"), slim=True)
-    return joined.join(joined.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+        inside = kept(inside.join(level.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")), slim=True)
+        s, t = (level.select(F.col("id").alias(end), F.col("community").alias(end[0])) for end in ("source", "target"))
+        pairs = folded(pairs.join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "w"))
+    last, any_moved = _moves(both_first, strength.join(inside.withColumnRenamed("node", "community"), "id"), total, resolution)
+    if any_moved:
+        return connected(first, last.select("id", "community"))
+    least = inside.groupBy("node").agg(F.min("id").alias("community"))
+    return inside.join(least, "node").select("id", "community")
 
 
 def keep_labels(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -199,121 +150,103 @@ def keep_labels(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(won.select("community", "label"), "community", "left").select("id", "community", F.coalesce("label", "community").alias("label"))
 
 
-def strongly_connected(pairs: Iterator[tuple[str, str]]) -> list[list[str]]:
-    """Groups of nodes that reach each other, and loops; Kosaraju's two passes without recursion."""
-    out, into, loops = defaultdict(list), defaultdict(list), set()
-    for a, b in pairs:
-        out[a].append(b)
-        into[b].append(a)
-        if a == b:
-            loops.add(a)
-    done, order = set(), []
-    for root in sorted(set(out) | set(into)):
-        stack = [(root, iter(out[root]))] if root not in done else []
-        done.add(root)
-        while stack:
-            x, rest = stack[-1]
-            y = next((y for y in rest if y not in done), None)
-            if y is None:
-                order.append(x)
-                stack.pop()
-            else:
-                done.add(y)
-                stack.append((y, iter(out[y])))
-    found, seen = [], set()
-    for root in reversed(order):
-        if root in seen:
-            continue
-        seen.add(root)
-        group, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            group.append(x)
-            for y in into[x]:
-                if y not in seen:
-                    seen.add(y)
-                    todo.append(y)
-        if len(group) > 1 or group[0] in loops:
-            found.append(sorted(group))
-    return found
-
-
-def _shortened(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """left without a set of nodes of one way in and one way out, no two of them neighbours, bridged by an edge each; and
-    these: (node, before, after)."""
-    ways_in = left.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("before")).where("n = 1").drop("n")
-    ways_out = left.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.min("target").alias("after")).where("n = 1").drop("n")
-    thin = ways_in.join(ways_out, "node").where("node <> before and node <> after")
-    draw = lambda c: F.xxhash64(F.col(c), F.lit("draw"))
-    # A local minimum of the draws has no neighbour that is one.
-    gone = kept(thin.where((draw("node") < draw("before")) & (draw("node") < draw("after"))), slim=True)
-    stay = left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target")
-    return kept(stay.union(gone.select(F.col("before").alias("source"), F.col("after").alias("target"))).distinct(), slim=True), gone
-
-
-def _coloured(left: DataFrame) -> DataFrame:
-    """(id, cycle) of the strongly connected groups that hold the smallest id reaching them: forward from each node its
-    smallest id spreads, and what the owner of an id can be reached from, of its colour, is its group."""
-    now = kept(left.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("colour", F.col("id")), slim=True)
-    while True:
-        offered = left.join(now.withColumnRenamed("id", "source"), "source").groupBy("target").agg(F.min("colour").alias("c"))
-        later = kept(now.join(offered.withColumnRenamed("target", "id"), "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("new")), slim=True)
-        done = later.where("new").isEmpty()
+def _along_chains(left: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """left (source, target) with each chain of nodes of one way in and one way out bridged by an edge; the nodes bridged, as
+    (node, before, after) of their chain; and (id, cycle) of those that form a ring of their own.
+
+    A chain's nodes find its last one by doubling their steps. What hasn't come to an end after as many rounds as the number
+    of nodes has binary digits goes round.
+    """
+    chain = kept(ends.where("ins = 1 and outs = 1 and after <> id").select("id", "before", "after"), slim=True)
+    n = chain.count()
+    if not n:
+        return left, chain.select(F.col("id").alias("node"), "before", "after"), chain.select("id", F.col("id").alias("cycle"))
+    nxt = chain.join(chain.select(F.col("id").alias("after"), F.lit(True).alias("on")), "after", "left")
+    now = kept(nxt.select("id", F.when(F.col("on"), F.col("after")).otherwise(F.col("id")).alias("to"), F.col("on").isNull().alias("done"), F.col("id").alias("least")), slim=True)
+    for _ in range(n.bit_length() + 1):
+        going = now.where("not done")
+        if going.isEmpty():
+            break
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
+        moved = going.join(far, "to").select("id", F.col("to2").alias("to"), F.col("done2").alias("done"), F.least("least", "least2").alias("least"))
+        later = kept(now.where("done").unionByName(moved), slim=True)
         drop(now)
         now = later
-        if done:
-            break
-    now = now.select("id", "colour")
-    same = left.join(now.select(F.col("id").alias("source"), "colour"), "source").join(now.select(F.col("id").alias("target"), F.col("colour").alias("c")), "target").where("colour = c").select("source", "target", "colour")
+    rings = now.where("not done").select("id", F.col("least").alias("cycle"))
+    in_chain = chain.select(F.col("id").alias("before"), F.lit(True).alias("on"))
+    tails = now.where("done").select("id", F.col("to").alias("tail"))
+    begins = chain.join(in_chain, "before", "left").where("on is null").join(tails, "id").select("tail", "before")
+    exits = chain.select(F.col("id").alias("tail"), "after")
+    spans = kept(begins.join(exits, "tail"), slim=True)
+    gone = kept(tails.join(spans, "tail").select(F.col("id").alias("node"), "before", "after"), slim=True)
+    stay = left.join(chain.select(F.col("id").alias("source")), "source", "left_anti").join(chain.select(F.col("id").alias("target")), "target", "left_anti")
+    bridges = spans.select(F.col("before").alias("source"), F.col("after").alias("target"))
+    return kept(stay.select("source", "target").union(bridges).distinct(), slim=True), gone, kept(rings, slim=True)
+
+
+def _from_pivots(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, cycle) of groups found from many pivots at once, and the edges that may hold more.
+
+    Every node has a lot, drawn by hash. Forward from every node its lot spreads, the smallest wins, and all that has one
+    colour is reached by that lot's owner, the pivot. What reaches the pivot inside its colour is its group. No group
+    has two colours, so edges between colours go. Lots leave the pivots no order that follows the edges, so about as many
+    rounds of this are needed as the number of groups has digits.
+    """
+    lot = F.struct(F.xxhash64("id").alias("lot"), "id")
+    ids = left.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    now = kept(ids.select("id", lot.alias("colour"), F.lit(True).alias("new")), slim=True)
+    while not (fresh := now.where("new")).isEmpty():
+        # Only what has a new colour tells its targets.
+        offered = left.join(fresh.select(F.col("id").alias("source"), "colour"), "source").groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("c"))
+        later = kept(now.join(offered, "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("new")), slim=True)
+        drop(now)
+        now = later
+    colours = now.select("id", F.col("colour.id").alias("colour"))
+    same = left.join(colours.withColumnRenamed("id", "source"), "source").join(colours.select(F.col("id").alias("target"), F.col("colour").alias("c")), "target").where("colour = c").select("source", "target", "colour")
     same = kept(same, slim=True)
-    found = kept(now.where("id = colour"), slim=True)
-    frontier = found
-    while not frontier.isEmpty():
-        back = same.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"), "colour").distinct()
-        frontier = kept(back.join(found, "id", "left_anti"), slim=True)
-        found = kept(found.union(frontier), slim=True)
-    return found.select("id", F.col("colour").alias("cycle"))
-
-
-def cycles(edges: DataFrame, residue: int = RESIDUE) -> DataFrame:
+    found = kept(colours.where("id = colour").withColumn("new", F.lit(True)), slim=True)
+    while not (frontier := found.where("new")).isEmpty():
+        back = same.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"), "colour")
+        every = found.select("id", "colour", F.lit(0).alias("more")).unionByName(back.withColumn("more", F.lit(1)))
+        later = kept(every.groupBy("id", "colour").agg((F.min("more") == 1).alias("new")), slim=True)
+        drop(found)
+        found = later
+    rest = same.join(found.select(F.col("id").alias("source")), "source", "left_anti").join(found.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target")
+    many = found.groupBy("colour").count().where("count > 1").select("colour")
+    return kept(found.join(many, "colour", "left_semi").select("id", F.col("colour").alias("cycle")), slim=True), kept(rest, slim=True)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
     """(id, cycle): nodes on a directed cycle, with the smallest id of their strongly connected group.
 
-    While more than `residue` edges are left, rounds of joins make the graph smaller: nodes without a way in or out go,
-    nodes of one way in and one way out are bridged, and where that no longer helps the groups of each component's
-    smallest id are found by colouring and taken out. One task finds the groups of the rest, and the bridged nodes join
-    the group that they lie between, in the reverse order.
+    Rounds of joins make the graph smaller until no edge is left: nodes without a way in or out go, chains are bridged, and
+    where that takes less than a quarter off, groups are found from many pivots at once, forward and backward. Bridged nodes then join the group that they
+    lie between, in the reverse order. A search from the pivots takes as many rounds as what is left is wide, without its
+    chains.
     """
-    every = kept(edges.select("source", "target").distinct(), slim=True)
-    loops = every.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("cycle"))
-    left, bridged, found = every.where("source <> target"), [], []
+    every = kept(edges.where("source is not null and target is not null").select("source", "target").distinct(), slim=True)
+    found, closed = [], [every.where("source = target").select(F.col("source").alias("id"))]
+    left, bridged = every.where("source <> target"), []
     size = left.count()
-    while size > residue:
-        has_in, has_out = left.select(F.col("target").alias("source")).distinct(), left.select(F.col("source").alias("target")).distinct()
-        left = kept(left.join(has_in, "source", "left_semi").join(has_out, "target", "left_semi").select("source", "target"), slim=True)
-        left, gone = _shortened(left)
+    while size:
+        ends = left.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("target").alias("after"), F.lit(None).cast("string").alias("before"))
+        ends = ends.unionByName(left.select(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(None).cast("string").alias("after"), F.col("source").alias("before")))
+        ends = kept(ends.groupBy("id").agg(F.sum("o").alias("outs"), F.sum("i").alias("ins"), F.min("after").alias("after"), F.min("before").alias("before")), slim=True)
+        dead = ends.where("ins = 0 or outs = 0").select("id")
+        left, gone, rings = _along_chains(left, ends)
         bridged.append(gone)
-        closed = left.where("source = target")
-        # A bridge from a node to itself: a cycle of the two.
-        found.append(kept(closed.select(F.col("source").alias("id"), F.col("source").alias("cycle")), slim=True))
-        left = left.where("source <> target")
-        after = left.count()
-        if after > 0.9 * size:
-            groups = _coloured(left)
-            groups = kept(groups.join(groups.groupBy("cycle").count().where("count > 1"), "cycle", "left_semi"), slim=True)
-            found.append(groups.select("id", "cycle"))
-            a, b = groups.select(F.col("id").alias("source"), F.col("cycle").alias("s")), groups.select(F.col("id").alias("target"), F.col("cycle").alias("t"))
-            # A found group becomes one node: no cycle goes through it any more, but paths do.
-            marked = left.join(a, "source", "left").join(b, "target", "left").select(F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target"))
-            left = kept(marked.where("source <> target").distinct(), slim=True)
-            after = left.count()
-        size = after
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = [p for frame in frames for p in zip(frame.source, frame.target, strict=True)]
-        yield pd.DataFrame([(x, g[0]) for g in strongly_connected(pairs) for x in g], columns=["id", "cycle"])
-
-    rest = left.repartition(1).mapInPandas(run, "id string, cycle string")  # at most `residue` edges
-    got = kept(reduce(DataFrame.union, found, rest.union(loops)).groupBy("id").agg(F.min("cycle").alias("cycle")), slim=True)
+        # A bridge from a node to itself: it is on a cycle.
+        found.append(rings)
+        closed.append(left.where("source = target").select(F.col("source").alias("id")))
+        alive = left.where("source <> target").join(dead.withColumnRenamed("id", "source"), "source", "left_anti").join(dead.withColumnRenamed("id", "target"), "target", "left_anti")
+        left = kept(alive.select("source", "target"), slim=True)
+        before, size = size, left.count()
+        if size > 0.75 * before:
+            groups, left = _from_pivots(left)
+            found.append(groups)
+            size = left.count()
+    own = reduce(DataFrame.union, closed).select("id", F.lit(None).cast("string").alias("cycle"))
+    got = kept(reduce(DataFrame.union, found, own).groupBy("id").agg(F.coalesce(F.min("cycle"), F.col("id")).alias("cycle")), slim=True)
     for gone in reversed(bridged):
         a = got.select(F.col("id").alias("before"), F.col("cycle").alias("a"))
         b = got.select(F.col("id").alias("after"), F.col("cycle").alias("b"))

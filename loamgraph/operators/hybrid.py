@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import passages
 from loamgraph.functions.scalars import clip, name_of
+from loamgraph.functions.text import terms_of
 from loamgraph.operators import expand, rank
+from loamgraph.operators.intervals import points_in
 from loamgraph.operators.storage import kept
 from loamgraph.sources.manifest import Expansion
 
-#: One candidate: a chunk of a leaf, or of a file that has no leaf of its own.
-CHUNK = "node string, file string, chunk int, ordinal int, parent string, body string, vector array<float>"
-
-
 @dataclass(frozen=True)
 class Settings:
     """What a call may set; expansion's pool is take times its multiplier."""
@@ -32,36 +30,60 @@ class Settings:
     most_units: int = 2
 
 
-def candidates(files: DataFrame, leaves: DataFrame, file_chunks: DataFrame, model: str) -> DataFrame:
-    """CHUNK rows of the files (id) whose vectors are of the model: leaves (id, chunk, ordinal, parent, body, vector, model),
-    and of a file without a live leaf its own chunks (id, chunk, body, vector, model). A sub-unit among the files
-    stands for its file."""
-    ids = files.select(expand.file_of(F.col("id")).alias("file")).distinct()
-    live = leaves.where(F.col("model") == model).withColumn("file", expand.file_of(F.col("id"))).join(ids, "file", "left_semi")
-    rows = live.select(F.col("id").alias("node"), "file", "chunk", "ordinal", "parent", "body", "vector")
-    bare = ids.join(live.select("file").distinct(), "file", "left_anti")
-    own = file_chunks.where(F.col("model") == model).withColumnRenamed("id", "file").join(bare, "file", "left_semi")
-    return rows.union(own.select(F.col("file").alias("node"), "file", "chunk", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("parent"), "body", "vector"))
-
-
-def ranked(chunks: DataFrame, files: DataFrame, query: str, vector: list[float], settings: Settings) -> DataFrame:
-    """(node, file, ordinal, parent, body, cosine, lexical, title, score): the best chunk of each node, the first of
-    equal ones. Vectors of another length than the query's are left out. files has id, path and title."""
-    q = F.array(*[F.lit(float(v)) for v in vector])
-    rows = chunks.where(F.size("vector") == len(vector)).withColumn("id", F.concat_ws("@", "node", "chunk"))
-    rows = rows.withColumn("cosine", rank.cosine(F.col("vector"), q))
-    if settings.lexical_weight:
-        rows = rows.join(rank.bm25(rows.select("id", F.col("body").alias("text")), query), "id")
-    else:
-        rows = rows.withColumn("lexical", F.lit(0.0))
+@dataclass(frozen=True)
+class Candidates:
+    """What may be found: of the files (id) the leaves (id, chunk, ordinal, parent, body, vector, model) whose vectors are of the
+    model, and of a file without such a leaf its own chunks (id, chunk, body, vector, model). A sub-unit among the
+    files stands for its file."""
+
+    files: DataFrame
+    leaves: DataFrame
+    file_chunks: DataFrame
+    model: str
+
+    def measured(self, query: str, vector: list[float], lexical: bool) -> DataFrame:
+        """(node, chunk, file, ordinal, parent, cosine, lexical). Bodies and vectors are measured where they lie, and only
+        what that gives goes through joins. Vectors of another length than the query's are left out."""
+        terms = terms_of(query) if lexical else []
+        q = F.array(*[F.lit(float(v)) for v in vector])
+
+        def slim(rows: DataFrame) -> DataFrame:
+            fits = F.size("vector") == len(vector)
+            rows = rows.where(F.col("model") == self.model).withColumns({"fits": fits, "cosine": F.when(fits, rank.cosine(F.col("vector"), q))}).drop("vector", "model")
+            return rank.counted(rows, "body", terms) if terms else rows.drop("body")
+
+        counts = ["n", *(f"f{i}" for i in range(len(terms)))] if terms else []
+        ids = self.files.select(expand.file_of(F.col("id")).alias("file")).distinct()
+        live = slim(self.leaves).withColumn("file", expand.file_of(F.col("id"))).join(ids, "file", "left_semi")
+        bare = ids.join(live.select("file").distinct(), "file", "left_anti")
+        own = slim(self.file_chunks).withColumnRenamed("id", "file").join(bare, "file", "left_semi")
+        own = own.withColumns({"id": F.col("file"), "ordinal": F.lit(None).cast("int"), "parent": F.lit(None).cast("string")})
+        cols = [F.col("id").alias("node"), "chunk", "file", "ordinal", "parent", "cosine", *counts]
+        rows = kept(live.where("fits").select(*cols).union(own.where("fits").select(*cols)))
+        return rank.bm25_of(rows, terms) if terms else rows.withColumn("lexical", F.lit(0.0))
+
+    def bodies(self, few: DataFrame) -> DataFrame:
+        """(node, body) of a few chunks (node, chunk), as many as a request shows."""
+        both = self.leaves.select(F.col("id").alias("node"), "chunk", "body", "model").union(self.file_chunks.select("id", "chunk", "body", "model"))
+        return both.where(F.col("model") == self.model).join(F.broadcast(few), ["node", "chunk"]).select("node", "body")
+
+
+def candidates(files: DataFrame, leaves: DataFrame, file_chunks: DataFrame, model: str) -> Candidates:
+    return Candidates(files, leaves, file_chunks, model)
+
+
+def ranked(chunks: Candidates, files: DataFrame, query: str, vector: list[float], settings: Settings) -> DataFrame:
+    """(node, chunk, file, ordinal, parent, cosine, lexical, title, score): the best chunk of each node, the first of
+    equal ones. files has id, path and title."""
+    rows = chunks.measured(query, vector, bool(settings.lexical_weight))
     if settings.title_weight:
         name = F.coalesce(F.when(F.col("title") != "", F.col("title")), name_of(F.col("path")))
         rows = rows.join(files.select(F.col("id").alias("file"), rank.covered(name, query).alias("title")), "file", "left").withColumn("title", F.coalesce("title", F.lit(0.0)))
     else:
         rows = rows.withColumn("title", F.lit(0.0))
     score = rank.fused(F.col("cosine"), F.col("lexical"), F.col("title"), settings.lexical_weight, settings.title_weight)
-    best = F.max(F.struct(score.alias("score"), (-F.col("chunk")).alias("first"), "file", "ordinal", "parent", "body", "cosine", "lexical", "title")).alias("b")
-    return rows.groupBy("node").agg(best).select("node", "b.file", "b.ordinal", "b.parent", "b.body", "b.cosine", "b.lexical", "b.title", "b.score")
+    best = F.max(F.struct(score.alias("score"), (-F.col("chunk")).alias("first"), "chunk", "file", "ordinal", "parent", "cosine", "lexical", "title")).alias("b")
+    return rows.groupBy("node").agg(best).select("node", "b.chunk", "b.file", "b.ordinal", "b.parent", "b.cosine", "b.lexical", "b.title", "b.score")
 
 
 def spread(rows: DataFrame, near: DataFrame, known: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +101,7 @@ def spread(rows: DataFrame, near: DataFrame, known: DataFrame, settings: Setting
     return kept_rows.withColumn("score", (1 - x.weight) * own + x.weight * F.col("graph")).drop("final"), blended
 
 
-def search(files: DataFrame, chunks: DataFrame, query: str, vector: list[float], settings: Settings, near: DataFrame | None = None, known: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+def search(files: DataFrame, chunks: Candidates, query: str, vector: list[float], settings: Settings, near: DataFrame | None = None, known: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
     """Ranked files: id, type, path, title, score, units, units_total, and of the best unit cosine, lexical, graph,
     distance, weight; best first, ties by id, skip and take applied.
 
@@ -105,11 +127,14 @@ def search(files: DataFrame, chunks: DataFrame, query: str, vector: list[float],
         rows = rows.withColumn("_section", F.lit(None).cast("boolean"))
     rows = rows.withColumn("unit", F.when(F.col("_section"), F.col("parent")).otherwise(F.col("node")))
     trace = ["cosine", "lexical", "title", "graph", "distance", "weight"]
-    best = F.max(F.struct("score", (-F.coalesce("ordinal", F.lit(0))).alias("early"), "node", "body", *trace)).alias("b")
-    units = rows.groupBy("file", "unit").agg(best)
-    order = F.struct((-F.col("b.score")).alias("by"), (-F.col("b.early")).alias("ordinal"), F.col("unit").alias("id"), F.col("b.body").alias("body"), F.col("b.node").alias("leaf"), *(F.col(f"b.{t}").alias(t) for t in trace))
-    hits = units.groupBy("file").agg(F.sort_array(F.collect_list(order)).alias("all"))
-    hits = hits.select(F.col("file").alias("id"), (-F.col("all")[0]["by"]).alias("score"), F.slice("all", 1, settings.most_units).alias("top"), F.size("all").alias("units_total"), *(F.col("all")[0][t].alias(f"best_{t}") for t in trace))
+    best = F.max(F.struct("score", (-F.coalesce("ordinal", F.lit(0))).alias("early"), "node", "chunk", *trace)).alias("b")
+    units = kept(rows.groupBy("file", "unit").agg(best).select("file", F.col("unit").alias("id"), "b.score", (-F.col("b.early")).alias("ordinal"), F.col("b.node").alias("leaf"), "b.chunk", *(f"b.{t}" for t in trace)), slim=True)
+    # Of a file's units only the few that are shown come together; the others are counted.
+    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "ordinal", "id"))
+    few = units.withColumn("place", place).where(F.col("place") <= max(1, settings.most_units))
+    top = few.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "ordinal", "id", "leaf", "chunk", "score", *trace))).alias("all"))
+    hits = top.join(units.groupBy("file").agg(F.count("*").cast("int").alias("units_total")), "file")
+    hits = hits.select(F.col("file").alias("id"), F.col("all")[0]["score"].alias("score"), F.slice("all", 1, settings.most_units).alias("top"), "units_total", *(F.col("all")[0][t].alias(f"best_{t}") for t in trace))
     if walked is not None:
         bare = walked.where("distance > 0").join(hits.select("id"), "id", "left_anti").join(weighed.withColumnRenamed("file", "id"), "id")
         bare = bare.withColumn("score", F.col("final") * F.col("weight"))
@@ -117,11 +142,14 @@ def search(files: DataFrame, chunks: DataFrame, query: str, vector: list[float],
             bare = bare.where(F.col("score") >= settings.least)
         none = F.lit(None).cast("double")
         hits = hits.union(bare.select("id", "score", F.lit(None).cast(hits.schema["top"].dataType), F.lit(0), none, none, none, "graph", "distance", "weight"))
-    window = rank.window(hits, settings.take, settings.skip)
-    # Snippets are made for the rows of the window only.
+    window = kept(rank.window(hits, settings.take, settings.skip), slim=True)
+    # Bodies are read, and snippets made, for the rows of the window only: most_units of each at most.
     shown = window.join(meta, "id", "left").withColumn("top", F.coalesce("top", F.array().cast(hits.schema["top"].dataType)))
-    texts = shown.withColumn("snippets", passages.all_snippets(F.transform("top", lambda u: u["body"]), query))
-    unit = lambda u, i: F.struct(u["id"].alias("id"), u["ordinal"].alias("ordinal"), u["leaf"].alias("leaf"), (-u["by"]).alias("score"), F.get("snippets", i).alias("snippet"))
+    asked = window.select(F.explode("top").alias("u")).select(F.col("u.leaf").alias("node"), "u.chunk")
+    found = window.select("id", F.explode("top").alias("u")).select("id", F.col("u.place").alias("place"), F.col("u.leaf").alias("node")).join(chunks.bodies(asked), "node")
+    bodies = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("bodies"))
+    texts = shown.join(bodies, "id", "left").withColumn("snippets", passages.all_snippets(F.coalesce(F.col("bodies.body"), F.array().cast("array<string>")), query))
+    unit = lambda u, i: F.struct(u["id"].alias("id"), u["ordinal"].alias("ordinal"), u["leaf"].alias("leaf"), u["score"].alias("score"), F.get("snippets", i).alias("snippet"))
     return texts.select(
         "id", "type", "path", "title", "score", F.transform("top", unit).alias("units"), "units_total",
         *(F.col(f"best_{t}").alias(t if t != "title" else "coverage") for t in trace),
@@ -145,11 +173,14 @@ def with_passages(found: DataFrame, bodies: DataFrame, leaves: DataFrame, limit:
 
 
 def innermost(sections: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, line, section): the smallest section (file, id, start_line, end_line) around each line (file, line); null in none."""
-    near = lines.join(sections, "file", "left")
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    span: Column = F.when(inside, F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), "id"))
-    return near.groupBy("file", "line").agg(F.min(span).alias("s")).select("file", "line", F.col("s.id").alias("section"))
+    """(file, line, section): the smallest section (file, id, start_line, end_line) around each line (file, line); null in none.
+
+    A line meets only the sections that can be around it; see intervals.points_in().
+    """
+    inside = points_in(lines.select("file", "line").distinct(), sections, "line", "start_line", "end_line", ["file"])
+    span: Column = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), "id")
+    found = inside.groupBy("file", "line").agg(F.min(span).alias("s")).select("file", "line", F.col("s.id").alias("section"))
+    return lines.select("file", "line").distinct().join(found, ["file", "line"], "left")
 
 
 def outline(units: DataFrame) -> DataFrame:

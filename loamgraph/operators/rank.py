@@ -17,36 +17,48 @@ from loamgraph.operators.storage import kept
 SATURATION, LENGTH_PENALTY = 1.2, 0.75
 
 
-def bm25(rows: DataFrame, query: str) -> DataFrame:
-    """(id, lexical) over all candidate rows (id, text): BM25 over the best score, 0 where no word is shared.
+def counted(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """rows with n, the words of a text, and f0, f1 ..., how often each term is said, in place of the text.
 
-    Texts are read once, to each row's length and counts of the query's words; these slim rows are stored, and the corpus
-    figures and the best score are one row each. Words said twice in the query count once. Only the forms a stem can come
-    from are looked for, so no word of a text is stemmed.
+    Only the forms a stem can come from are looked for, so no word of a text is stemmed.
     """
-    terms = terms_of(query)
-    if not terms:
-        return rows.select("id", F.lit(0.0).alias("lexical"))
 
     def said(i: int) -> Column:
         forms = forms_of(terms[i])
-        return F.size(F.filter("w", lambda w: w.isin(forms))).cast("double").alias(f"f{i}")
+        return F.size(F.filter("_w", lambda w: w.isin(forms))).cast("double").alias(f"f{i}")
 
     # An inner sub-plan of its own keeps the words from being split once a term.
-    words = rows.select("id", plain_words(F.col("text")).alias("w")).withColumn("w", F.explode(F.array("w")))
-    counted = kept(words.select("id", F.size("w").cast("double").alias("n"), *map(said, range(len(terms)))))
-    corpus = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms)))).first()
-    if not corpus["docs"] or not corpus["mean"]:
-        return rows.select("id", F.lit(0.0).alias("lexical"))
+    words = rows.withColumn("_w", plain_words(F.col(text))).drop(text).withColumn("_w", F.explode(F.array("_w")))
+    return words.select("*", F.size("_w").cast("double").alias("n"), *map(said, range(len(terms)))).drop("_w")
+
+
+def bm25_of(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """counted() rows, which are read twice, with `lexical` in place of the counts: BM25 over the best score, 0 where no word is shared."""
+    counts = ["n", *(f"f{i}" for i in range(len(terms)))]
+    corpus = rows.agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"d{i}") for i in range(len(terms)))).first()
+    if not terms or not corpus["docs"] or not corpus["mean"]:
+        return rows.withColumn("lexical", F.lit(0.0)).drop(*counts)
 
     def part(i: int) -> Column:
         df, f = F.lit(corpus[f"d{i}"]), F.col(f"f{i}")
         idf = F.log(1 + (F.lit(corpus["docs"]) - df + 0.5) / (df + 0.5))
         return idf * f * (SATURATION + 1) / (f + SATURATION * (1 - LENGTH_PENALTY + LENGTH_PENALTY * F.col("n") / F.lit(corpus["mean"])))
 
-    scored = counted.select("id", reduce(lambda a, b: a + b, map(part, range(len(terms)))).alias("raw"))
-    best = scored.agg(F.max("raw")).first()[0]
-    return scored.select("id", (F.col("raw") / best if best and best > 0 else F.lit(0.0)).alias("lexical"))
+    scored = rows.withColumn("_raw", reduce(lambda a, b: a + b, map(part, range(len(terms)))))
+    best = scored.agg(F.max("_raw")).first()[0]
+    return scored.withColumn("lexical", F.col("_raw") / best if best and best > 0 else F.lit(0.0)).drop("_raw", *counts)
+
+
+def bm25(rows: DataFrame, query: str) -> DataFrame:
+    """(id, lexical) over all candidate rows (id, text): BM25 over the best score, 0 where no word is shared.
+
+    Texts are read once, to each row's length and counts of the query's words; these slim rows are stored, and the corpus
+    figures and the best score are one row each. Words said twice in the query count once.
+    """
+    terms = terms_of(query)
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("lexical"))
+    return bm25_of(kept(counted(rows.select("id", "text"), "text", terms)), terms)
 
 
 def cosine(a: Column, b: Column) -> Column:
