@@ -28,10 +28,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Directions of the lists, the step of the residual codes in each dimension, and how many lists a search looks into."""
+    """Directions of the lists, and how many of them a search looks into."""
 
     at: np.ndarray
-    step: np.ndarray
     probes: int
 
     def nearest(self, x: np.ndarray, n: int = 1) -> np.ndarray:
@@ -40,9 +39,18 @@ class Centroids:
         some = np.argpartition(-score, min(n, score.shape[1]) - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1)
 
-    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """A byte a dimension: what the list's centroid leaves of a unit vector."""
-        return np.clip(np.rint((x - self.at[lists]) / self.step), -127, 127).astype(np.int8)
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> list[bytes]:
+        """What the list's centroid leaves of each unit vector: its own step, and a byte a dimension of so many steps. So
+        vectors close to their centroid are told apart as well as others."""
+        left = x - self.at[lists]
+        step = np.maximum(np.abs(left).max(1, initial=0), 1e-12) / 127
+        codes = np.rint(left / step[:, None]).astype(np.int8)
+        return [s.tobytes() + c.tobytes() for s, c in zip(step, codes, strict=True)]
+
+    def decode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The steps, and the codes as numbers."""
+        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        return rows[:, :8].copy().view(np.float64)[:, 0], rows[:, 8:].copy().view(np.int8).astype(np.float64)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -61,8 +69,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 class VectorIndex:
     """All vectors (id, vector) of one length, in lists of the nearest of about sqrt(rows) centroids; zero vectors are in a list, too.
 
-    Lists are stored as blocks of ROWS vectors, so a list that a third of all rows fall in is many rows. Only centroids,
-    code steps and the number of lists to look into come from a sample: at most SAMPLE rows, picked by hash of the id, of
+    Lists are stored as blocks of ROWS vectors, so a list that a third of all rows fall in is many rows. Only centroids
+    and the number of lists to look into come from a sample: at most SAMPLE rows, picked by hash of the id, of
     which MEASURED ask for their nearest ones. Every row is indexed.
     """
 
@@ -89,8 +97,7 @@ class VectorIndex:
         k = max(1, min(len(x), int(math.sqrt(n))))
         at = _kmeans(x, k, rng)
         own = np.argmax(x @ at.T, axis=1)
-        step = np.maximum(np.abs(x - at[own]).max(0), 1e-6) / 127
-        c = Centroids(at, step, k)
+        c = Centroids(at, k)
         asked = x[rng.choice(len(x), min(MEASURED, len(x)), replace=False)]
         near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :take]
         place = np.argsort(np.argsort(-(asked @ at.T), axis=1, kind="stable"), axis=1)
@@ -107,8 +114,7 @@ class VectorIndex:
             for batch in batches:
                 x = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
                 own = c.nearest(x)[:, 0]
-                raw = c.encode(x, own)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("id"), pa.array([r.tobytes() for r in raw], pa.binary())], names=["list", "id", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("id"), pa.array(c.encode(x, own), pa.binary())], names=["list", "id", "code"])
 
         coded = kept(rows.mapInArrow(assign, f"list int, id {kind}, code binary"))
         sizes = coded.groupBy("list").agg(F.count("*").alias("size"))  # as many as there are lists
@@ -144,9 +150,9 @@ class VectorIndex:
                 for i in range(batch.num_rows):
                     which = batch.column("list")[i].as_py()
                     ids, own = batch.column("ids")[i].values, batch.column("query_ids")[i].values
-                    codes = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.int8).reshape(len(ids), d)
+                    step, codes = c.decode(batch.column("codes")[i].as_py())
                     q = np.frombuffer(b"".join(batch.column("qs")[i].as_py())).reshape(len(own), d)
-                    score = (q @ c.at[which])[:, None] + (q * c.step) @ codes.T.astype(np.float64)
+                    score = (q @ c.at[which])[:, None] + (q @ codes.T) * step
                     best = np.argpartition(-score, min(more, len(ids)) - 1, axis=1)[:, :more]
                     row = np.repeat(np.arange(len(own)), best.shape[1])
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(row)), ids.take(pa.array(best.ravel())), pa.array(score[row, best.ravel()])], names=["query_id", "id", "about"])
