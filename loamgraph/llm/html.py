@@ -18,9 +18,10 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Their content is never text of a page.
+#: Their content is never text of a page: what a browser shows only if it can't show something else counts so, too. Formulas
+#: and image maps are text.
 _RAW = frozenset("script style textarea title xmp noframes noembed iframe".split())
-_SKIPPED = frozenset("head template svg math object audio video canvas map select button datalist noscript".split())
+_SKIPPED = frozenset("head template svg object audio video canvas select button datalist noscript".split())
 #: What may stand in a head, beside what is raw; any other start tag ends it.
 _IN_HEAD = frozenset("head html base basefont bgsound link meta noscript template".split())
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -32,7 +33,9 @@ _IMPLIED = {
 }
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|!--(?:-?>|.*?--!?>)|(!--)|[!?/][^>]*>)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_BODY = re.compile(r"<body[\s/>]", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: White space, of which a run becomes one space; a decoded no-break space is a sign of its own, as words are cut at ASCII spaces.
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -62,7 +65,8 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, and runs of text (the element's number, text) in page order."""
-    nodes = [Node("html", (), -1, 0)]
+    # Without a body's tag all that isn't in the head is in the body.
+    nodes = [Node("html" if _BODY.search(page) else "body", (), -1, 0)]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # every open element, with the block it belongs to
     parts: list[str] = []
@@ -169,7 +173,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
 def features(nodes: list[Node]) -> list[list[str]]:
     """What each node shows of itself and of all that is in it; parents come in by the tree's potentials."""
-    chars, link, stops, fields, below = ([getattr(x, k) for x in nodes] for k in ("chars", "link_chars", "stops", "fields", "kids"))
+    chars, link, stops, fields = ([getattr(x, k) for x in nodes] for k in ("chars", "link_chars", "stops", "fields"))
+    own, own_link = chars[:], link[:]
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
         chars[p] += chars[i]
@@ -189,7 +194,9 @@ def features(nodes: list[Node]) -> list[list[str]]:
                 f"s:{min(6, int(100 * stops[i] / n)) if n else -1}",
                 f"k:{min(x.kids, 8).bit_length()}",
                 f"f:{min(fields[i], 2)}",
+                f"o:{x.tag}:{(min(own[i], 20_000).bit_length() + 1) // 2}:{int(2 * own_link[i] / own[i] + 0.5) if own[i] else -1}",
                 *("c:" + w for w in x.names),
+                *(("p:" + w for w in nodes[x.parent].names) if i else ()),
             ]
         )
     return out
@@ -293,7 +300,12 @@ def fit(pages: list[tuple[str, str]], rounds: int = 250) -> Model:
 
 
 def labelled_pages(n: int = 900, seed: int = 5) -> list[tuple[str, str]]:
-    """Pages made by rule, with the main text marked: the training set of the default model."""
+    """Pages made by rule, with the main text marked: the training set of the default model.
+
+    The text lies in an article, a main element, a named or plain div, section or table cell, right in the body, or in no
+    element at all; its parts in sections and divs inside these, up to three deep. Menus, notices, adverts, sidebars and forms
+    stand before and after it and within it; comments and footers follow.
+    """
     rnd = random.Random(seed)
     mark = "␂"
     out = []
@@ -352,21 +364,38 @@ def labelled_pages(n: int = 900, seed: int = 5) -> list[tuple[str, str]]:
             return "<table>" + "".join(f"<tr><td>{c(2)}</td><td>{c(1)}</td></tr>" for _ in range(rnd.randint(1, 4))) + "</table>"
 
         body = [rnd.choice([f"<h1>{c(rnd.randint(1, 10))}</h1>", "", f"<h1>{c(rnd.randint(3, 12))}</h1>", f"<header><h1>{c(4)}</h1></header>"])]
+        rest = []
         for _ in range(rnd.choice([0, 1, 1, 2, 3, 4, 8, 15, 30])):
-            body.append(paragraph())
-            if rnd.random() < 0.06:
-                body.append(rnd.choice([ad, form, sidebar, notice])())
+            rest.append(paragraph())
+            if rnd.random() < 0.1:
+                rest.append(rnd.choice([ad, form, sidebar, notice])())
+        # Parts of the text lie in sections and divs of their own, some in others.
+        for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+            a = rnd.randint(0, len(rest))
+            b = rnd.randint(a, min(len(rest), a + 6))
+            if b > a:
+                t = rnd.choice(["section", "section", "div"])
+                name = rnd.choice(["", "", "", named("section", "chapter", "text", "body", "intro", "part", "row", "col", "block", "inner")])
+                rest[a:b] = [f"<{t}{name}>" + rnd.choice(["", f"<h2>{c(rnd.randint(1, 5))}</h2>", f"<h3>{c(rnd.randint(1, 5))}</h3>"]) + "".join(rest[a:b]) + f"</{t}>"]
+        body += rest
         if not body[0] and len(body) == 1:
             body.append(f"<p>{c(5)}</p>")
         inside = "".join(body) + (comments() if rnd.random() < 0.12 else "") + (f"<div{named('share', 'social', 'tags', 'author', 'pagination')}>{menu()}</div>" if rnd.random() < 0.1 else "") + (f"<footer>{words(5)}</footer>" if rnd.random() < 0.1 else "")
         kind = rnd.random()
-        if kind < 0.6:
+        if kind < 0.45:
             main = f"<article{rnd.choice(['', '', named('post', 'entry', 'story')])}>{inside}</article>"
-        elif kind < 0.8:
+        elif kind < 0.6:
             main = f"<main{rnd.choice(['', named('content', 'main')])}>{inside}</main>"
-        else:
+        elif kind < 0.75:
             main = f"<div{named('content', 'article', 'post', 'entry', 'story', 'post-content', 'article-body', 'main')}>{inside}</div>"
-        if rnd.random() < 0.2:
+        elif kind < 0.82:
+            main = f"<{(t := rnd.choice(['div', 'section', 'td']))}>{inside}</{t}>"
+            main = f"<table><tr>{main}</tr></table>" if t == "td" else main
+        elif kind < 0.92:
+            main = inside
+        else:  # no element around the text
+            main = rnd.choice([c(rnd.randint(20, 80)), f"{c(30)}<br><br>{c(12)}", inside + c(rnd.randint(20, 60))])
+        if kind < 0.75 and rnd.random() < 0.2:
             main = f"<{(t := rnd.choice(['div', 'main', 'section']))}{rnd.choice(['', named('container', 'page', 'wrapper')])}>{main}</{t}>"
         before = [x for x, p in ((rnd.choice([f"<nav>{menu()}</nav>", f"<div{named('menu', 'navbar', 'nav', 'navigation', 'breadcrumb', 'breadcrumbs')}>{menu()}</div>", menu(), f"<nav><a href='/'>{words(1)}</a> <a href='/a'>{words(1)}</a></nav>"]), 0.85), (f"<header{rnd.choice(['', named('header', 'site-header', 'masthead', 'top')])}>{rnd.choice(['<h1>', '<div>', '<p>'])}{words(3)}</header>", 0.4), (notice(), 0.2), (form(), 0.2), (ad(), 0.5), (sidebar(), 0.15)) if rnd.random() < p]
         after = [x for x, p in ((comments(), 0.3), (sidebar(), 0.3), (ad(), 0.25), (form(), 0.15), (notice(), 0.1), (f"<footer{rnd.choice(['', named('footer', 'site-footer', 'copyright', 'colophon')])}>{rnd.choice(['&copy; ' + words(rnd.randint(3, 25)), '<p>' + words(rnd.randint(3, 25)) + '</p>', menu()])}</footer>", 0.9), (f"<div{named('footer', 'copyright', 'legal', 'disclaimer')}>{words(12)}</div>", 0.15)) if rnd.random() < p]
