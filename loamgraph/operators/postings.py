@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.text import terms_of, tokens
+from loamgraph.functions.text import plain_words, stem, terms_of
 from loamgraph.operators.rank import LENGTH_PENALTY, SATURATION
 from loamgraph.operators.storage import kept
 from loamgraph.sources.store import Commit, Store
 
-#: Texts of a block, about; parts of a bucket by block, so that a term of all texts isn't one task's; terms' buckets.
-BLOCK, PARTS, BUCKETS = 128, 16, 64
+#: Texts of a block, about; texts, of the first that are put, to a bucket of terms, of which there are 8 to 1,024; and to a
+#: part of a bucket by block, of which there are 64 at most, so that a term of all texts isn't one task's.
+BLOCK, PER_BUCKET, PER_PART = 128, 4096, 1 << 18
 #: Blocks scored first, to learn the least score that counts; blocks whose numbers a filter may list.
 FIRST, LISTED = 4, 2000
 
@@ -38,10 +39,17 @@ class Index:
         self.store, self.blocks = store, blocks
 
     def _begin(self, now: Commit, rows: DataFrame) -> None:
+        if "blocks" in now.meta:
+            return
+        n = rows.count()
         for name, schema, key in (("postings", POSTINGS, ["term"]), ("bounds", BOUNDS, ["term"]), ("texts", TEXTS, ["id"]), ("gone", GONE, ["id"])):
-            now.create(name, schema, key, BUCKETS)
-        if "blocks" not in now.meta:
-            now.meta |= {"blocks": self.blocks or max(1, rows.count() // BLOCK), "seg": 0, "texts": 0, "words": 0}
+            now.create(name, schema, key, min(1024, max(8, n // PER_BUCKET)))
+        now.meta |= {"blocks": self.blocks or max(1, n // BLOCK), "parts": min(64, 1 + n // PER_PART), "seg": 0, "texts": 0, "words": 0}
+
+    @staticmethod
+    def _add(now: Commit, name: str, rows: DataFrame, whole: bool = False) -> None:
+        """Rows by term and block to a table, or in place of it."""
+        (now.overwrite if whole else now.append)(name, rows, ["term", "block"], F.pmod("block", F.lit(now.meta["parts"])))
 
     def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds or replaces texts, one row an id; null ids are left out, a null text has no words."""
@@ -49,15 +57,17 @@ class Index:
         def change(now: Commit) -> None:
             self._begin(now, rows)
             seg = now.meta["seg"] = now.meta["seg"] + 1
-            split = rows.where("id is not null").select(F.col("id").cast("string").alias("id"), tokens(F.col("text")).alias("w"))
+            split = rows.where("id is not null").select(F.col("id").cast("string").alias("id"), plain_words(F.col("text")).alias("w"))
             split = kept(split.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(now.meta["blocks"]))).withColumn("n", F.size("w")))
             self._take_out(now, split.select("id"), seg)
-            counted = split.select("id", "block", "n", F.explode("w").alias("term")).groupBy("term", "id", "block").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"))
+            # A word is stemmed once for each text that has it, however often it is said.
+            words = split.select("id", "block", "n", F.explode("w").alias("word")).groupBy("id", "block", "n", "word").agg(F.count("*").alias("tf"))
+            counted = words.groupBy(stem(F.col("word")).alias("term"), "id", "block", "n").agg(F.sum("tf").cast("int").alias("tf"))
             counted = kept(counted.withColumn("seg", F.lit(seg)))
-            now.append("postings", counted, ["term", "block", "id"], F.pmod("block", F.lit(PARTS)))
+            self._add(now, "postings", counted)
             bounds = counted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
-            now.append("bounds", bounds, ["term", "block"], F.pmod("block", F.lit(PARTS)))
-            now.merge("texts", split.select("id", "n", F.lit(seg).alias("seg")))
+            self._add(now, "bounds", bounds)
+            now.append("texts", split.select("id", "n", F.lit(seg).alias("seg")))
             self._count(now, split, 1)
 
         return self.store.update(change, batch)
@@ -80,7 +90,7 @@ class Index:
         block = F.pmod(F.xxhash64("id"), F.lit(now.meta["blocks"]))
         dead = now.read("postings").join(old.select("id", "seg", block.alias("block")), ["id", "seg", "block"], "left_semi")
         less = dead.groupBy("term", "block").agg(F.lit(0).alias("tf"), F.lit(None).cast("int").alias("n"), (-F.count("*")).alias("texts"))
-        now.append("bounds", less, ["term", "block"], F.pmod("block", F.lit(PARTS)))
+        self._add(now, "bounds", less)
         now.merge("gone", old.select("id", F.lit(seg).alias("seg")))
         now.merge("texts", old.withColumn("out", F.lit(True)), "out")
         self._count(now, old, -1)
@@ -96,9 +106,9 @@ class Index:
 
         def change(now: Commit) -> None:
             live = kept(self._live(now, now.read("postings")))
-            now.overwrite("postings", live, ["term", "block", "id"], F.pmod("block", F.lit(PARTS)))
+            self._add(now, "postings", live, True)
             bounds = live.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
-            now.overwrite("bounds", bounds, ["term", "block"], F.pmod("block", F.lit(PARTS)))
+            self._add(now, "bounds", bounds, True)
             now.reset("gone")
 
         return self.store.update(change)
