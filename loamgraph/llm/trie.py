@@ -211,7 +211,8 @@ def prefix_trie(of: DataFrame, ids: DataFrame) -> DataFrame:
     """
     root = ids.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("binary").alias("parent"), F.lit(_ROOT).alias("node"))
     members = of.select("conv_id", "depth", "bytes", "parent", "node").unionByName(root)
-    nodes = members.groupBy("node").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("depth").alias("depth"), F.max("parent").alias("parent"), F.max("bytes").alias("bytes"))
+    # A node's digest settles its parent, depth and bytes, too; as keys they can be hashed while they are counted.
+    nodes = members.groupBy("node", "parent", "depth", "bytes").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
     nodes = materialize(nodes, slim=True)
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     above = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
