@@ -17,7 +17,8 @@ HEAD = "### "
 #: What a text may not hold unescaped: the escape sign itself, a turn's end and a turn's head.
 _CONTROL = re.compile(r"\\|</turn>|### ")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^:\\]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+#: Nothing is tried again once it has matched, so a turn takes no memory beside its text.
+_TURN = re.compile(r"### ((?:[^:\\]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end long"
 

@@ -210,3 +210,17 @@ def test_whitening_odd_rows(spark):
 def test_deviation_beyond_a_long():
     w = whitening.Whitening(1 << 40, [0], np.ones(1), np.eye(1), 1.0, 1, 0.0)
     assert w.deviation(np.array([[1 << 30], [0]])) == [None, 0]
+
+
+def test_a_long_turn_is_parsed_without_memory_beside_it():
+    import tracemalloc
+
+    from loamgraph.llm import chat
+
+    text = "a<b \\ " * 3_000_000  # 18 million characters
+    formatted = "".join(chat.turn("user", text))
+    tracemalloc.start()
+    got = chat.parse(formatted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [("user", text)] and peak < 300 << 20
