@@ -47,9 +47,9 @@ class Index:
         now.meta |= {"blocks": self.blocks or max(1, n // BLOCK), "parts": min(64, 1 + n // PER_PART), "seg": 0, "texts": 0, "words": 0}
 
     @staticmethod
-    def _add(now: Commit, name: str, rows: DataFrame, whole: bool = False) -> None:
-        """Rows by term and block to a table, or in place of it."""
-        (now.overwrite if whole else now.append)(name, rows, ["term", "block"], F.pmod("block", F.lit(now.meta["parts"])))
+    def _add(now: Commit, name: str, rows: DataFrame, whole: bool = False) -> DataFrame:
+        """Rows by term and block to a table, or in place of it; as they are stored."""
+        return (now.overwrite if whole else now.append)(name, rows, ["term", "block"], F.pmod("block", F.lit(now.meta["parts"])))
 
     def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds or replaces texts, one row an id; null ids are left out, a null text has no words."""
@@ -63,9 +63,8 @@ class Index:
             # A word is stemmed once for each text that has it, however often it is said.
             words = split.select("id", "block", "n", F.explode("w").alias("word")).groupBy("id", "block", "n", "word").agg(F.count("*").alias("tf"))
             counted = words.groupBy(stem(F.col("word")).alias("term"), "id", "block", "n").agg(F.sum("tf").cast("int").alias("tf"))
-            counted = kept(counted.withColumn("seg", F.lit(seg)))
-            self._add(now, "postings", counted)
-            bounds = counted.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
+            stored = self._add(now, "postings", counted.withColumn("seg", F.lit(seg)))
+            bounds = stored.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
             self._add(now, "bounds", bounds)
             now.append("texts", split.select("id", "n", F.lit(seg).alias("seg")))
             self._count(now, split, 1)
@@ -105,9 +104,8 @@ class Index:
         """Postings and bounds without what is gone, in one segment's files."""
 
         def change(now: Commit) -> None:
-            live = kept(self._live(now, now.read("postings")))
-            self._add(now, "postings", live, True)
-            bounds = live.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
+            stored = self._add(now, "postings", self._live(now, now.read("postings")), True)
+            bounds = stored.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
             self._add(now, "bounds", bounds, True)
             now.reset("gone")
 

@@ -178,3 +178,16 @@ def numbered_ids(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
     base = F.concat_ws("-", *key)
     return rows.withColumn("name", F.when(nth == 0, base).otherwise(F.concat(base, F.lit("-"), nth.cast("string"))))
+
+
+def top_units(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each group with their `place`, and `total`, how many the group has. Tasks keep their own first
+    rows and counts before any are shuffled, so a large group doesn't come together."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= most)
+    return placed.join(rows.groupBy(by).agg(F.count("*").alias("total")), by)
+
+
+def duplicates(rows: DataFrame, content: Column) -> DataFrame:
+    """(content_hash, n): contents that several rows have, by their hash; null contents aren't equal."""
+    hashed = rows.select(F.sha2(content, 256).alias("content_hash")).where("content_hash is not null")
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions import scalars
 from loamgraph.functions.text import STOPWORDS
 from loamgraph.operators import aggregate, rank
-from loamgraph.plans import catalog_graph, catalog_hybrid, catalog_stored, catalog_time, catalog_views
+from loamgraph.plans import catalog_changes, catalog_graph, catalog_hybrid, catalog_stored, catalog_time, catalog_views
 from loamgraph.plans.filter import query
 from loamgraph.sources.graph import Graph
 
@@ -93,7 +93,7 @@ QUERIES = {
     "r04_bm25": _bm25,
     "r05_cosine": _cosine,
     "r05_cosine_all": _cosine_all,
-} | catalog_graph.QUERIES | catalog_hybrid.QUERIES | catalog_views.QUERIES | catalog_stored.QUERIES | catalog_time.QUERIES
+} | catalog_graph.QUERIES | catalog_hybrid.QUERIES | catalog_views.QUERIES | catalog_stored.QUERIES | catalog_time.QUERIES | catalog_changes.QUERIES
 
 _MENTIONS = "m AS (SELECT DISTINCT 'page/' || page_id AS id, trim(unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)), '/') AS target FROM pages)"
 _TOKENS = f"""
@@ -153,4 +153,4 @@ ORACLE_SQL = {
     "x07_title_match": f"WITH {_TITLES} SELECT 'part/' || doc_id AS id, round({_NAMED}::DOUBLE / count(DISTINCT w), 6) AS coverage FROM t GROUP BY doc_id HAVING {_NAMED} > 0",
     "r05_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(v, q), 5) AS score FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 20",
     "r05_cosine_all": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(v.v, q.v) AS c FROM v, v q WHERE q.vec_id % 100 = 0) SELECT query_id, id, round(c, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) <= 20",
-} | catalog_graph.ORACLE_SQL | catalog_hybrid.ORACLE_SQL | catalog_views.ORACLE_SQL | catalog_stored.ORACLE_SQL | catalog_time.ORACLE_SQL
+} | catalog_graph.ORACLE_SQL | catalog_hybrid.ORACLE_SQL | catalog_views.ORACLE_SQL | catalog_stored.ORACLE_SQL | catalog_time.ORACLE_SQL | catalog_changes.ORACLE_SQL

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import passages
-from loamgraph.operators import analytics, expand, rank
+from loamgraph.operators import analytics, expand, rank, views
 from loamgraph.plans import checks
 from loamgraph.plans.filter import query
 from loamgraph.sources import files
@@ -74,10 +73,8 @@ def _pooled(spark, sf):
 
 def _top_units(spark, sf):
     """The three dearest lines of each order, and how many there are."""
-    by = Window.partitionBy("l_orderkey")
     rows = Graph(spark, sf).table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    rows = rows.withColumn("place", F.row_number().over(by.orderBy(F.desc("l_extendedprice"), "l_linenumber"))).withColumn("total", F.count("*").over(by))
-    return rows.where("place <= 3")
+    return views.top_units(rows, "l_orderkey", [F.desc("l_extendedprice"), F.asc("l_linenumber")], 3)
 
 
 def _title_match(spark, sf):
@@ -97,7 +94,7 @@ def _stats(spark, sf):
 
 
 def _duplicates(spark, sf):
-    return Graph(spark, sf).table("documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n")).where("n > 1")
+    return views.duplicates(Graph(spark, sf).table("documents"), F.col("text"))
 
 
 def _dangling(spark, sf):

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loamgraph.functions.passages import heading_key, name_key
+from loamgraph.operators.storage import kept
+from loamgraph.streaming import queue
 
 LETTERS = {"paragraph": "P", "code-block": "B", "blockquote": "Q", "list-item": "L"}
 TITLE_LENGTH = 80
@@ -288,17 +290,60 @@ def parse_file(path: str, source: str, default_type: str | None = None, prefix:
 
 COLUMNS = ("id", "path", "type", "title", "properties", "body", "content_hash", "units", "links", "error")
 _SHAPES = {"units": f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in UNIT.split(', '))}>>", "links": "array<string>"}
+UNITS = _SHAPES["units"]
 NODE = ", ".join(f"{c} {_SHAPES.get(c, 'string')}" for c in COLUMNS)
 
 
-def read_folder(spark: SparkSession, root: str, default_type: str | None = None, ignore: str | None = None, prefix: str = "node:") -> DataFrame:
-    """A row a file below root; ids are paths without .md. ignore: a pattern of paths left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx,html,htm}").load(root)
+#: Paths that are opened by name; more of them are found by a join with all that is there.
+LISTED = 10_000
+
+
+def reserved(id_: Column) -> Column:
+    """Ids that no file may have: # parts a file from a sub-unit, and reindex: names the index's own work."""
+    return F.contains(id_, F.lit("#")) | F.startswith(id_, F.lit("reindex:"))
+
+
+def listing(spark: SparkSession, root: str, ignore: str | None = None) -> DataFrame:
+    """(file, path, modified, size) of what may be a node below root; file is where it lies. No content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx,html,htm}").load(root)
     base = root.split("://", 1)[-1].rstrip("/") + "/"
-    rows = files.select(F.element_at(F.split(F.col("path"), re.escape(base), 2), -1).alias("path"), "content").where("not contains(path, '#')")
-    if ignore:
-        rows = rows.where(~F.col("path").rlike(ignore))
-    return parsed(rows.select("path", F.decode("content", "UTF-8").alias("source"), F.sha2("content", 256).alias("content_hash")), default_type, prefix)
+    rows = found.select(F.col("path").alias("file"), F.element_at(F.split(F.col("path"), re.escape(base), 2), -1).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return rows.where(~F.col("path").rlike(ignore)) if ignore else rows
+
+
+def scan(spark: SparkSession, root: str, stored: DataFrame | None = None, default_type: str | None = None, ignore: str | None = None, prefix: str = "node:") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, state, faults) of a folder. nodes are the files that are new or whose time or size differ from those
+    stored (path, content_hash, modified, size, state, generation): only these are opened. state is what to store next:
+    listed files are live, a generation on, with their old hash where they weren't read, and others are tombstones. faults
+    (path, error) are files of reserved ids."""
+    there = kept(listing(spark, root, ignore), slim=True)
+    id_ = F.regexp_replace("path", r"\.md$", "")
+    good, bad = there.where(~reserved(id_)), there.where(reserved(id_))
+    if stored is None:
+        stored = spark.createDataFrame([], "path string, content_hash string, modified timestamp, size long, state string, generation int")
+    todo = queue.to_read(stored, good)
+    some = [r[0] for r in todo.select("file").limit(LISTED + 1).collect()]
+    if not some:
+        opened = good.limit(0).select("file", "path").withColumn("content", F.lit(b""))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([glob_free(f) for f in some] if len(some) <= LISTED else root)
+        files = files.select(F.col("path").alias("file"), "content")
+        opened = files.join(todo.select("file", "path"), "file")
+    nodes = kept(parsed(opened.select("path", F.decode("content", "UTF-8").alias("source"), F.sha2("content", 256).alias("content_hash")), default_type, prefix))
+    last = stored.agg(F.max("generation")).first()[0] or 0
+    known = good.join(nodes.select("path", "content_hash"), "path", "left").join(stored.where("state = 'live'").select("path", F.col("content_hash").alias("_old")), "path", "left")
+    state = queue.walk_state(stored, known.withColumn("content_hash", F.coalesce("content_hash", "_old")), last + 1)
+    return nodes, state, bad.select("path", F.lit("reserved id").alias("error"))
+
+
+def glob_free(path: str) -> str:
+    """A path of one file whose signs aren't taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_folder(spark: SparkSession, root: str, default_type: str | None = None, ignore: str | None = None, prefix: str = "node:") -> DataFrame:
+    """A row a file below root; ids are paths without .md. ignore: a pattern of paths left out. Files of reserved ids are none."""
+    return scan(spark, root, None, default_type, ignore, prefix)[0]
 
 
 def parsed(rows: DataFrame, default_type: str | None = None, prefix: str = "node:") -> DataFrame:

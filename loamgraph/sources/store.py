@@ -142,11 +142,9 @@ class Commit:
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """The table, or some of its buckets: only their folders are read."""
-        t, spark = self.tables[name], self.store.spark
-        some = t.folders if buckets is None else {str(b): t.folders.get(str(b), []) for b in buckets}
-        paths = [f"{self.store.at}/data/{d}" for dirs in some.values() for d in dirs]
-        schema = T.StructType.fromDDL(t.schema)
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        t = self.tables[name]
+        some = t.folders.values() if buckets is None else [t.folders.get(str(b), []) for b in buckets]
+        return self._stored(t, [d for dirs in some for d in dirs])
 
     def bucket_of(self, name: str, *values: object) -> int:
         """The bucket of one key."""
@@ -166,15 +164,24 @@ class Commit:
         found = [s.getPath().getName() for s in store._files.listStatus(store._path(at)) if s.isDirectory()]
         return {f.removeprefix("_bucket="): f"{name}/{f}" for f in found if f.startswith("_bucket=")}
 
-    def append(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> None:
-        """Adds rows beside what is there; no file is read or rewritten."""
+    def append(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> DataFrame:
+        """Adds rows beside what is there; no file is read or rewritten. Returns what was written, to be read again."""
         t = self.tables[name]
-        for bucket, folder in self._write(t, rows, order or t.key, parts).items():
+        made = self._write(t, rows, order or t.key, parts)
+        for bucket, folder in made.items():
             t.folders.setdefault(bucket, []).append(folder)
+        return self._stored(t, list(made.values()))
 
-    def overwrite(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> None:
+    def overwrite(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> DataFrame:
         t = self.tables[name]
-        t.folders = {b: [f] for b, f in self._write(t, rows, order or t.key, parts).items()}
+        made = self._write(t, rows, order or t.key, parts)
+        t.folders = {b: [f] for b, f in made.items()}
+        return self._stored(t, list(made.values()))
+
+    def _stored(self, t: Table, folders: list[str]) -> DataFrame:
+        spark, schema = self.store.spark, T.StructType.fromDDL(t.schema)
+        paths = [f"{self.store.at}/data/{d}" for d in folders]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def merge(self, name: str, changes: DataFrame, deleted: str | None = None) -> list[int]:
         """Rows of changes take the place of those with their key; where the column `deleted` is true they only go. One row a

@@ -1,5 +1,6 @@
 import json
 
+from loamgraph.operators.storage import kept
 from loamgraph.sources import files
 from loamgraph.streaming import changes
 
@@ -90,3 +91,31 @@ def test_stream_of_files(spark, tmp_path):
     (vault / "e.md").write_text("new")
     changes.index_stream(changes.follow_files(spark, str(vault)), str(tmp_path / "ck"), apply).awaitTermination()
     assert seen["e.md"] > max(seen["a.md"], seen["b.md"])
+
+
+def test_scan_opens_only_what_changed(spark, tmp_path):
+    for name, text in (("a.md", "# A"), ("in/b.md", "# B"), ("c [1].html", "<p>c</p>"), ("no#id.md", "x"), ("reindex:x.md", "x"), ("out/skip.md", "x"), ("d.txt", "x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    root = f"file://{tmp_path}"
+    nodes, state, faults = files.scan(spark, root, default_type="note", ignore="^out/")
+    assert sorted(r.id for r in nodes.collect()) == ["a", "c [1].html", "in/b"]
+    assert sorted(r.path for r in faults.collect()) == ["no#id.md", "reindex:x.md"]
+    first = kept(state)
+    assert {(r.path, r.state, r.generation) for r in first.collect()} == {("a.md", "live", 1), ("in/b.md", "live", 1), ("c [1].html", "live", 1)}
+    # Nothing has changed: nothing is opened. Then one changes, one is new and one is gone.
+    assert files.scan(spark, root, first, "note", "^out/")[0].count() == 0
+    (tmp_path / "a.md").write_text("# A, longer")
+    (tmp_path / "e.md").write_text("# E")
+    (tmp_path / "in/b.md").unlink()
+    nodes, state, _ = files.scan(spark, root, first, "note", "^out/")
+    assert sorted(r.title for r in nodes.collect()) == ["A, longer", "E"]
+    old = {r.path: r.content_hash for r in first.collect()}
+    got = {r.path: r for r in state.collect()}
+    assert {(p, r.state, r.generation) for p, r in got.items()} == {("a.md", "live", 2), ("e.md", "live", 2), ("c [1].html", "live", 2), ("in/b.md", "tombstone", 1)}
+    assert got["c [1].html"].content_hash == old["c [1].html"] and got["a.md"].content_hash != old["a.md"]
+    many, files.LISTED = files.LISTED, 1
+    try:
+        assert files.scan(spark, root, None, "note", "^out/")[0].count() == 3
+    finally:
+        files.LISTED = many
