@@ -315,7 +315,8 @@ def scan(spark: SparkSession, root: str, stored: DataFrame | None = None, defaul
     """(nodes, state, faults) of a folder. nodes are the files that are new or whose time or size differ from those
     stored (path, content_hash, modified, size, state, generation): only these are opened. state is what to store next:
     listed files are live, a generation on, with their old hash where they weren't read, and others are tombstones. faults
-    (path, error) are files of reserved ids."""
+    (path, error) are files of reserved ids. Where more than LISTED files have changed, whole folders are read, in which no
+    other file may have a colon in its name, as Hadoop's readers can't open it."""
     there = kept(listing(spark, root, ignore), slim=True)
     id_ = F.regexp_replace("path", r"\.md$", "")
     good, bad = there.where(~reserved(id_)), there.where(reserved(id_))

@@ -114,6 +114,8 @@ def test_scan_opens_only_what_changed(spark, tmp_path):
     got = {r.path: r for r in state.collect()}
     assert {(p, r.state, r.generation) for p, r in got.items()} == {("a.md", "live", 2), ("e.md", "live", 2), ("c [1].html", "live", 2), ("in/b.md", "tombstone", 1)}
     assert got["c [1].html"].content_hash == old["c [1].html"] and got["a.md"].content_hash != old["a.md"]
+    # A file with a colon in its name can't be opened by Hadoop's readers where a whole folder is read.
+    (tmp_path / "reindex:x.md").unlink()
     many, files.LISTED = files.LISTED, 1
     try:
         assert files.scan(spark, root, None, "note", "^out/")[0].count() == 3
