@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.operators.storage import kept
+
 #: Parts that the range of times is cut into, so that one key's rows are many tasks' work.
 PARTS = 256
 
@@ -72,6 +74,34 @@ def points_in(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     return met.where(inside).drop("_level", "_cell")
 
 
+def totals_in(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, sums: list[str], keys: list[str] | None = None, closed: bool = True) -> DataFrame:
+    """intervals that hold a point of the same keys, as points_in() says, with `n`, how many, and the sums of columns of
+    the points: whole numbers whose total fits a long, nulls as 0. No pair is made.
+
+    Points are folded to one row a key and place, with what lies there or before; an interval's numbers are those at its end
+    less those before its beginning. Running totals go through windows of one key and one of PARTS parts of the range,
+    and what earlier parts have is added, one row a key and part.
+    """
+    keys = keys or []
+    known = _all([F.col(k).isNotNull() for k in keys])
+    sums_of = ["n", *(f"_s{i}" for i in range(len(sums)))]
+    rows = points.where(known & F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("long").alias("_at"))
+    rows = kept(rows.agg(F.count("*").alias("n"), *(F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(o) for c, o in zip(sums, sums_of[1:], strict=True))))
+    lo, hi = rows.agg(F.min(F.col("_at").cast("double")), F.max(F.col("_at").cast("double"))).first()
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col("_at").cast("double") - F.lit(lo or 0.0)) / F.lit(((hi or 0.0) - (lo or 0.0)) or 1.0) * PARTS)).cast("int")
+    rows = rows.withColumn("_part", part)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_part").agg(*(F.sum(c).alias(c) for c in sums_of)).select(*keys, "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in sums_of))
+    here = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.select(*keys, "_part", "_at", *(F.sum(c).over(here).alias(c) for c in sums_of)).join(carry, [*keys, "_part"])
+    upto = kept(upto.select(*keys, "_at", *((F.col(c) + F.col(f"_b{c}")).alias(c) for c in sums_of)))
+    out = intervals.where(known & (F.col(low) <= F.col(high)))
+    for end, prefix in ((F.col(high).cast("long") - (0 if closed else 1), "_to_"), (F.col(low).cast("long") - 1, "_from_")):
+        out = as_of(out.withColumn("_at", end), upto, keys, "_at", sums_of, prefix).drop("_at", f"{prefix}_at")
+    less = [(F.coalesce(f"_to_{c}", F.lit(0)) - F.coalesce(f"_from_{c}", F.lit(0))).alias(o) for c, o in zip(sums_of, ["n", *sums], strict=True)]
+    return out.select(*intervals.columns, *less).where("n > 0")
+
+
 def overlapping(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
     """Pairs of intervals of the same keys that have a whole number in common, each once; column names other than the keys
     differ. Of two that overlap, either the first begins within the second, or the second within the first, later."""

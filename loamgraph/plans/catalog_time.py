@@ -61,7 +61,8 @@ def _bands(spark, sf):
     balances = g.table("supplier").select("s_suppkey", F.floor("s_acctbal").alias("balance"))
     price, width = F.floor("p_retailprice"), F.col("p_size") * 10
     parts = g.table("part").select("p_partkey", (price - width).alias("low"), (price + width).alias("high"))
-    return intervals.points_in(balances, parts, "balance", "low", "high").groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("balance").alias("balances"))
+    held = intervals.totals_in(balances, parts, "balance", "low", "high", ["balance"])
+    return held.groupBy("p_partkey").agg(F.sum("n").alias("n"), F.sum("balance").alias("balances"))
 
 
 def _overlaps(spark, sf):

@@ -120,3 +120,22 @@ def test_totals_of_lists_and_nulls(spark):
     assert got[None, None, 3] == 5 and got["a", None, 1] == 3 and got["a", None, 0] == 1 and got[None, None, 1] == 1 and got[None, "x", 2] == 2
     with pytest.raises(ValueError):
         sketches.totals(rows, ["k"], "squares", [])
+
+
+def test_totals_in_intervals_make_no_pairs(spark):
+    rnd = random.Random(9)
+    spans = [(i, rnd.choice(["x", "y", None]), lo := rnd.randrange(-500, 500), lo + rnd.choice([0, 0, 1, 3, 40, 900, -2])) for i in range(200)] + [(900, "x", None, 4), (901, "x", 4, None)]
+    points = [(rnd.choice(["x", "y", None]), rnd.randrange(-520, 520), rnd.choice([None, *range(-9, 9)])) for _ in range(300)] + [("x", None, 3)] + [("x", 7, 1)] * 50
+    a, p = spark.createDataFrame(spans, "i long, k string, lo long, hi long"), spark.createDataFrame(points, "k string, t long, v long")
+    for closed in (True, False):
+        for keys in (["k"], []):
+            want = []
+            for i, k, lo, hi in spans:
+                of = [v or 0 for pk, t, v in points if None not in (lo, hi, t) and (not keys or k is not None and pk == k) and lo <= t and (t <= hi if closed else t < hi)]
+                want += [(i, len(of), sum(of))] if of else []
+            got = intervals.totals_in(p if keys else p.drop("k"), a, "t", "lo", "hi", ["v"], keys, closed)
+            assert sorted((r.i, r.n, r.v) for r in got.collect()) == sorted(want)
+    assert intervals.totals_in(p.limit(0), a, "t", "lo", "hi", ["v"]).count() == intervals.totals_in(p, a.limit(0), "t", "lo", "hi", ["v"]).count() == 0
+    # 10^10 pairs as two running totals.
+    many = intervals.totals_in(spark.range(100_000).select((F.col("id") % 1000).alias("t"), F.lit(1).alias("v")), spark.range(100_000).select("id", F.lit(0).alias("lo"), F.lit(999).alias("hi")), "t", "lo", "hi", ["v"])
+    assert many.agg(F.sum("n")).first()[0] == 10**10
