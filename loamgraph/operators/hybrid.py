@@ -34,23 +34,33 @@ class Settings:
 class Candidates:
     """What may be found: of the files (id) the leaves (id, chunk, ordinal, parent, body, vector, model) whose vectors are of the
     model, and of a file without such a leaf its own chunks (id, chunk, body, vector, model). A sub-unit among the
-    files stands for its file."""
+    files stands for its file. Where vectors (vec, vector) are given, leaves and chunks have `vec` in place of `vector`, and
+    one without such a vector is left out."""
 
     files: DataFrame
     leaves: DataFrame
     file_chunks: DataFrame
     model: str
+    vectors: DataFrame | None = None
 
     def measured(self, query: str, vector: list[float], lexical: bool) -> DataFrame:
         """(node, chunk, file, ordinal, parent, cosine, lexical). Bodies and vectors are measured where they lie, and only
-        what that gives goes through joins. Vectors of another length than the query's are left out."""
+        what that gives is stored and goes through joins. Vectors of another length than the query's are left out."""
         terms = terms_of(query) if lexical else []
         q = F.array(*[F.lit(float(v)) for v in vector])
 
-        def slim(rows: DataFrame) -> DataFrame:
+        def near(rows: DataFrame) -> DataFrame:
             fits = F.size("vector") == len(vector)
-            rows = rows.where(F.col("model") == self.model).withColumns({"fits": fits, "cosine": F.when(fits, rank.cosine(F.col("vector"), q))}).drop("vector", "model")
-            return rank.counted(rows, "body", terms) if terms else rows.drop("body")
+            return rows.withColumns({"fits": fits, "cosine": F.when(fits, rank.cosine(F.col("vector"), q))}).drop("vector")
+
+        vectors = None if self.vectors is None else near(self.vectors.select("vec", "vector"))
+
+        def slim(rows: DataFrame) -> DataFrame:
+            rows = rows.where(F.col("model") == self.model).drop("model")
+            rows = near(rows) if vectors is None else rows
+            # Stored before any join, which the optimizer would otherwise make with the bodies.
+            rows = kept(rank.counted(rows, "body", terms) if terms else rows.drop("body"))
+            return rows if vectors is None else rows.join(vectors, "vec").drop("vec")
 
         counts = ["n", *(f"f{i}" for i in range(len(terms)))] if terms else []
         ids = self.files.select(expand.file_of(F.col("id")).alias("file")).distinct()
@@ -68,8 +78,8 @@ class Candidates:
         return both.where(F.col("model") == self.model).join(F.broadcast(few), ["node", "chunk"]).select("node", "body")
 
 
-def candidates(files: DataFrame, leaves: DataFrame, file_chunks: DataFrame, model: str) -> Candidates:
-    return Candidates(files, leaves, file_chunks, model)
+def candidates(files: DataFrame, leaves: DataFrame, file_chunks: DataFrame, model: str, vectors: DataFrame | None = None) -> Candidates:
+    return Candidates(files, leaves, file_chunks, model, vectors)
 
 
 def ranked(chunks: Candidates, files: DataFrame, query: str, vector: list[float], settings: Settings) -> DataFrame:
@@ -144,7 +154,7 @@ def search(files: DataFrame, chunks: Candidates, query: str, vector: list[float]
         hits = hits.union(bare.select("id", "score", F.lit(None).cast(hits.schema["top"].dataType), F.lit(0), none, none, none, "graph", "distance", "weight"))
     window = kept(rank.window(hits, settings.take, settings.skip), slim=True)
     # Bodies are read, and snippets made, for the rows of the window only: most_units of each at most.
-    shown = window.join(meta, "id", "left").withColumn("top", F.coalesce("top", F.array().cast(hits.schema["top"].dataType)))
+    shown = window.join(meta.join(F.broadcast(window.select("id")), "id", "left_semi"), "id", "left").withColumn("top", F.coalesce("top", F.array().cast(hits.schema["top"].dataType)))
     asked = window.select(F.explode("top").alias("u")).select(F.col("u.leaf").alias("node"), "u.chunk")
     found = window.select("id", F.explode("top").alias("u")).select("id", F.col("u.place").alias("place"), F.col("u.leaf").alias("node")).join(chunks.bodies(asked), "node")
     bodies = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("bodies"))

@@ -26,15 +26,15 @@ def _corpus(spark, sf):
     known = docs.select(F.col("file").alias("id"), F.lit("doc").alias("type"), F.concat("file", F.lit(".md")).alias("path"), F.concat("lang", F.lit(" "), F.substring("text", 1, 40)).alias("title"))
     leaf = lambda n, body, shift: F.struct(F.lit(n).alias("ordinal"), body.alias("body"), (F.col("doc_id") + shift).alias("vec_id"))
     rest = F.substr("text", F.lit(401))
-    leaves = docs.select("file", "doc_id", F.explode(F.array(leaf(1, F.substring("text", 1, 400), 0), leaf(2, rest, 100))).alias("l")).select("file", "doc_id", "l.*").join(vectors, "vec_id")
+    leaves = docs.select("file", "doc_id", F.explode(F.array(leaf(1, F.substring("text", 1, 400), 0), leaf(2, rest, 100))).alias("l")).select("file", "doc_id", "l.*")
     leaves = leaves.select(
         F.concat("file", F.lit("#P"), "ordinal").alias("id"), F.lit(0).alias("chunk"), "ordinal", F.when(F.col("doc_id") % 2 == 0, F.concat("file", F.lit("#S1"))).alias("parent"),
-        "body", "vector", F.when(F.col("doc_id") % 10 == 9, "old").otherwise("new").alias("model"),
+        "body", F.col("vec_id").alias("vec"), F.when(F.col("doc_id") % 10 == 9, "old").otherwise("new").alias("model"),
     )
-    whole = docs.join(vectors, docs.doc_id == vectors.vec_id).select(F.col("file").alias("id"), F.lit(0).alias("chunk"), F.col("text").alias("body"), "vector", F.lit("new").alias("model"))
+    whole = docs.select(F.col("file").alias("id"), F.lit(0).alias("chunk"), F.col("text").alias("body"), F.col("doc_id").alias("vec"), F.lit("new").alias("model"))
     sections = docs.where("doc_id % 2 = 0").select(F.concat("file", F.lit("#S1")).alias("id"))
     asked = list(vectors.where("vec_id = 0").first().vector)
-    return g, docs, known, hybrid.candidates(query(g, "type=doc lang=en"), leaves, whole, "new"), sections, asked
+    return g, docs, known, hybrid.candidates(query(g, "type=doc lang=en"), leaves, whole, "new", vectors.withColumnRenamed("vec_id", "vec")), sections, asked
 
 
 def _hybrid(spread: bool):
