@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, StringType
 # Where chunks are cut, the best first, and sizes in bytes.
 CUTS = (b"\n## ", b"\n### ", b"\n\n", b"\n", b". ", b" ")
 TARGET, MOST, OVERLAP = 1600, 4000, 200
+# Texts that are chunked before their chunks are packed.
+AT_ONCE = 64
 # Fixed value: bytes of a passage, at most.
 PASSAGE = 2048
 # Words of a query that don't place a snippet.
@@ -50,9 +53,11 @@ def chunk(text: str | None, target: int = TARGET, most: int = MOST, overlap: int
 
 
 def chunks(text: Column) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(chunk)
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        # Only a few texts at a time are Python's strings.
+        kind = pa.list_(pa.string())
+        return pa.concat_arrays([pa.array([chunk(t) for t in texts.slice(i, AT_ONCE).to_pylist()], kind) for i in range(0, len(texts), AT_ONCE)] or [pa.array([], kind)])
 
     return run(text)
 
