@@ -19,6 +19,8 @@ from loamgraph.streaming import queue
 
 LETTERS = {"paragraph": "P", "code-block": "B", "blockquote": "Q", "list-item": "L"}
 TITLE_LENGTH = 80
+#: Characters of files that are parsed before their nodes are handed on.
+PARSED = 1 << 20
 UNIT = "ordinal int, kind string, address string, parent_address string, text string, payload string, properties string, title string, start_line int, end_line int, links array<string>"
 
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -352,8 +354,11 @@ def parsed(rows: DataFrame, default_type: str | None = None, prefix: str = "node
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [{"id": p.removesuffix(".md"), "path": p, "content_hash": h} | parse_file(p, s or "", default_type, prefix) for p, s, h in zip(frame.path, frame.source, frame.content_hash, strict=True)]
-            yield pd.DataFrame(out, columns=list(COLUMNS))
+            # Nodes are several times their source, so a few are made and handed on at a time.
+            part = frame.source.str.len().fillna(0).cumsum() // PARSED
+            for _, few in frame.groupby(part.to_numpy(), sort=False):
+                out = [{"id": p.removesuffix(".md"), "path": p, "content_hash": h} | parse_file(p, s or "", default_type, prefix) for p, s, h in zip(few.path, few.source, few.content_hash, strict=True)]
+                yield pd.DataFrame(out, columns=list(COLUMNS))
 
     return rows.select("path", "source", "content_hash").mapInPandas(run, NODE)
 
