@@ -16,6 +16,8 @@ who why will with you your
 """.split()
 SUFFIXES = "ingly edly ing ers er ed ly es s".split()
 LEAST_STEM = 3
+#: What a word that has anything to cut ends in.
+LAST = "e" + "".join({s[-1] for s in SUFFIXES})
 
 
 def stem(token: Column) -> Column:
@@ -40,6 +42,8 @@ def words_of(text: str) -> list[str]:
 
 def stem_of(word: str) -> str:
     """stem() of one word in plain Python."""
+    if word[-1:] not in LAST:
+        return word
     cut = lambda w, n: len(w.encode()) - n >= LEAST_STEM
     word = next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and cut(word, len(s))), word)
     return word[:-1] if word.endswith("e") and cut(word, 1) else word
@@ -56,7 +60,15 @@ def forms_of(term: str) -> list[str]:
     return [w for w in tried if stem_of(w) == term and w not in STOPWORDS]
 
 
+NO_WORD = r"[^\p{L}\p{Nd}]+"
+
+
+def spaced_words(text: Column) -> Column:
+    """A text's words, stopwords too, in lower case with one space between."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_WORD, " ")
+
+
 def plain_words(text: Column) -> Column:
     """tokens() before they are stemmed."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD)
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS))

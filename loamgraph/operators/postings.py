@@ -3,27 +3,63 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.text import plain_words, stem, terms_of
+from loamgraph.functions.text import STOPWORDS, spaced_words, stem_of, terms_of
 from loamgraph.operators.rank import LENGTH_PENALTY, SATURATION
-from loamgraph.operators.storage import kept
+from loamgraph.operators.storage import drop, kept
 from loamgraph.sources.store import Commit, Store
 
 #: Texts of a block, about; texts, of the first that are put, to a bucket of terms, of which there are 8 to 1,024; and to a
-#: part of a bucket by block, of which there are 64 at most, so that a term of all texts isn't one task's.
-BLOCK, PER_BUCKET, PER_PART = 128, 4096, 1 << 18
+#: part of a bucket by block, of which there are 4 to 64, so that a term of all texts isn't one task's.
+BLOCK, PER_BUCKET, PER_PART = 128, 8192, 1 << 19
 #: Blocks scored first, to learn the least score that counts; blocks whose numbers a filter may list.
 FIRST, LISTED = 4, 2000
+#: Postings that one task sorts and writes, about; characters that Python splits at once.
+PER_TASK, AT_ONCE = 1 << 20, 1 << 21
 
 POSTINGS = "term string, id string, block long, seg int, tf int, n int"
 #: What a segment adds to a term's texts in a block: most occurrences, shortest text, number of texts (less where they go).
 BOUNDS = "term string, block long, tf int, n int, texts long"
 TEXTS = "id string, n int, seg int"
 GONE = "id string, seg int"
+SAID = "id string, n int, said array<struct<term: string, tf: int>>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of AT_ONCE characters together, about; a longer text is a piece of its own."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.utf8_length(batch.column("words")).to_numpy(zero_copy_only=False)), 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (id, words with spaces between) as SAID: how many words but the stopwords, and how often each stem is said. A
+    text's words are counted where it lies, so only its terms are shuffled, and once."""
+    left_out = {"", *STOPWORDS}
+    for piece in _pieces(batches):
+        words = pc.split_pattern(piece.column("words"), " ")
+        flat = words.flatten().dictionary_encode()
+        # Each distinct word of the piece is stemmed once.
+        codes: dict[str, int] = {}
+        code = np.array([-1 if w in left_out else codes.setdefault(stem_of(w), len(codes)) for w in flat.dictionary.to_pylist()] or [-1])
+        term, text = code[flat.indices.to_numpy()], pc.list_parent_indices(words).to_numpy()
+        text, term = text[term >= 0], term[term >= 0]
+        pairs, tf = np.unique(text * max(1, len(codes)) + term, return_counts=True)
+        of, term = np.divmod(pairs, max(1, len(codes)))
+        both = pa.StructArray.from_arrays([pa.array(codes, pa.string()).take(pa.array(term)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+        ends = np.searchsorted(of, np.arange(len(piece) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(np.bincount(text, minlength=len(piece)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), both)], names=["id", "n", "said"])
 
 
 class Index:
@@ -44,12 +80,23 @@ class Index:
         n = rows.count()
         for name, schema, key in (("postings", POSTINGS, ["term"]), ("bounds", BOUNDS, ["term"]), ("texts", TEXTS, ["id"]), ("gone", GONE, ["id"])):
             now.create(name, schema, key, min(1024, max(8, n // PER_BUCKET)))
-        now.meta |= {"blocks": self.blocks or max(1, n // BLOCK), "parts": min(64, 1 + n // PER_PART), "seg": 0, "texts": 0, "words": 0}
+        now.meta |= {"blocks": self.blocks or max(1, n // BLOCK), "parts": min(64, 4 + n // PER_PART), "seg": 0, "texts": 0, "words": 0}
 
     @staticmethod
-    def _add(now: Commit, name: str, rows: DataFrame, whole: bool = False) -> DataFrame:
+    def _block(now: Commit) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(now.meta["blocks"]))
+
+    @staticmethod
+    def _add(now: Commit, name: str, rows: DataFrame, block: Column, then: Callable, tasks: int | None = None, whole: bool = False) -> DataFrame:
         """Rows by term and block to a table, or in place of it; as they are stored."""
-        return (now.overwrite if whole else now.append)(name, rows, ["term", "block"], F.pmod("block", F.lit(now.meta["parts"])))
+        return (now.overwrite if whole else now.append)(name, rows, ["term", "block"], F.pmod(block, F.lit(now.meta["parts"])), then, tasks)
+
+    def _add_bounds(self, now: Commit, rows: DataFrame, tasks: int | None = None, whole: bool = False, gone: bool = False) -> None:
+        """The bounds of postings, or less texts where these are gone. A term's rows of a block are together once they are dealt
+        for the write, so they are shuffled once."""
+        tf, n, texts = (F.lit(0), F.lit(None).cast("int"), -F.count("*")) if gone else (F.max("tf"), F.min("n"), F.count("*"))
+        bounds = lambda dealt, place: dealt.groupBy(*place, "term", "block").agg(tf.alias("tf"), n.alias("n"), texts.alias("texts"))
+        self._add(now, "bounds", rows.select("term", "block", *(() if gone else ("tf", "n"))), F.col("block"), bounds, tasks, whole)
 
     def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds or replaces texts, one row an id; null ids are left out, a null text has no words."""
@@ -57,17 +104,18 @@ class Index:
         def change(now: Commit) -> None:
             self._begin(now, rows)
             seg = now.meta["seg"] = now.meta["seg"] + 1
-            split = rows.where("id is not null").select(F.col("id").cast("string").alias("id"), plain_words(F.col("text")).alias("w"))
-            split = kept(split.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(now.meta["blocks"]))).withColumn("n", F.size("w")))
+            words = rows.where("id is not null").select(F.col("id").cast("string").alias("id"), spaced_words(F.col("text")).alias("words"))
+            split = kept(words.mapInArrow(said, SAID))
             self._take_out(now, split.select("id"), seg)
-            # A word is stemmed once for each text that has it, however often it is said.
-            words = split.select("id", "block", "n", F.explode("w").alias("word")).groupBy("id", "block", "n", "word").agg(F.count("*").alias("tf"))
-            counted = words.groupBy(stem(F.col("word")).alias("term"), "id", "block", "n").agg(F.sum("tf").cast("int").alias("tf"))
-            stored = self._add(now, "postings", counted.withColumn("seg", F.lit(seg)))
-            bounds = stored.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
-            self._add(now, "bounds", bounds)
+            n = split.agg(F.coalesce(F.sum(F.size("said")), F.lit(0))).first()[0]
+            tasks = max(split.sparkSession.sparkContext.defaultParallelism, math.ceil(n / PER_TASK))
+            # The block follows from the id, so it needn't be shuffled.
+            whole = lambda dealt, place: dealt.select(*place, "term", "id", self._block(now).alias("block"), F.lit(seg).alias("seg"), "tf", "n")
+            stored = self._add(now, "postings", split.select("id", "n", F.inline("said")), self._block(now), whole, tasks)
+            self._add_bounds(now, stored, tasks)
             now.append("texts", split.select("id", "n", F.lit(seg).alias("seg")))
             self._count(now, split, 1)
+            drop(split)
 
         return self.store.update(change, batch)
 
@@ -86,10 +134,8 @@ class Index:
         old = kept(now.read("texts").join(ids, "id", "left_semi"), slim=True)
         if old.isEmpty():
             return
-        block = F.pmod(F.xxhash64("id"), F.lit(now.meta["blocks"]))
-        dead = now.read("postings").join(old.select("id", "seg", block.alias("block")), ["id", "seg", "block"], "left_semi")
-        less = dead.groupBy("term", "block").agg(F.lit(0).alias("tf"), F.lit(None).cast("int").alias("n"), (-F.count("*")).alias("texts"))
-        self._add(now, "bounds", less)
+        dead = now.read("postings").join(old.select("id", "seg", self._block(now).alias("block")), ["id", "seg", "block"], "left_semi")
+        self._add_bounds(now, dead, gone=True)
         now.merge("gone", old.select("id", F.lit(seg).alias("seg")))
         now.merge("texts", old.withColumn("out", F.lit(True)), "out")
         self._count(now, old, -1)
@@ -104,9 +150,9 @@ class Index:
         """Postings and bounds without what is gone, in one segment's files."""
 
         def change(now: Commit) -> None:
-            stored = self._add(now, "postings", self._live(now, now.read("postings")), True)
-            bounds = stored.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("n").alias("n"), F.count("*").alias("texts"))
-            self._add(now, "bounds", bounds, True)
+            live = self._live(now, now.read("postings"))
+            stored = self._add(now, "postings", live, F.col("block"), lambda dealt, place: dealt, whole=True)
+            self._add_bounds(now, stored, whole=True)
             now.reset("gone")
 
         return self.store.update(change)

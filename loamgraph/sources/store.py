@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgraph.operators.storage import kept
+from loamgraph.operators.storage import kept, shuffles_removed
 
 #: Times a merge is made anew when another writer has committed meanwhile.
 TRIES = 5
@@ -153,28 +153,32 @@ class Commit:
         row = self.store.spark.createDataFrame([values], T.StructType([T.StructField(k, kinds[k]) for k in t.key]))
         return row.select(t.bucket()).first()[0]
 
-    def _write(self, t: Table, rows: DataFrame, order: list[str], parts: Column | None) -> dict[str, str]:
-        """Folders of the buckets that the rows fill. parts: a number by which a bucket's rows are dealt to several tasks."""
+    def _write(self, t: Table, rows: DataFrame, order: list[str], parts: Column | None, then: Callable[[DataFrame, list[str]], DataFrame] | None = None, tasks: int | None = None) -> dict[str, str]:
+        """Folders of the buckets that the rows fill. parts: a number by which a bucket's rows are dealt to several tasks. then:
+        makes the table's columns of dealt rows, and keeps the place columns; grouping by these and more shuffles nothing."""
         name = uuid.uuid4().hex
         at = f"{self.store.at}/data/{name}"
-        cols = [f.name for f in T.StructType.fromDDL(t.schema)]
-        dealt = rows.select(*cols, t.bucket().alias("_bucket"), (F.lit(0) if parts is None else parts).alias("_part"))
-        dealt.repartition("_bucket", "_part").sortWithinPartitions("_bucket", *order).drop("_part").write.partitionBy("_bucket").parquet(at)
+        cols, place = [f.name for f in T.StructType.fromDDL(t.schema)], ["_bucket", "_part"]
+        dealt = rows.select(*(rows.columns if then else cols), t.bucket().alias("_bucket"), (F.lit(0) if parts is None else parts).alias("_part"))
+        dealt = dealt.repartition(*([tasks] if tasks else []), *place)
+        made = (then(dealt, place) if then else dealt).select(*cols, "_bucket")
+        with shuffles_removed(self.store.spark):
+            made.sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(at)
         store = self.store
         found = [s.getPath().getName() for s in store._files.listStatus(store._path(at)) if s.isDirectory()]
         return {f.removeprefix("_bucket="): f"{name}/{f}" for f in found if f.startswith("_bucket=")}
 
-    def append(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> DataFrame:
+    def append(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None, then: Callable[[DataFrame, list[str]], DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
         """Adds rows beside what is there; no file is read or rewritten. Returns what was written, to be read again."""
         t = self.tables[name]
-        made = self._write(t, rows, order or t.key, parts)
+        made = self._write(t, rows, order or t.key, parts, then, tasks)
         for bucket, folder in made.items():
             t.folders.setdefault(bucket, []).append(folder)
         return self._stored(t, list(made.values()))
 
-    def overwrite(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None) -> DataFrame:
+    def overwrite(self, name: str, rows: DataFrame, order: list[str] | None = None, parts: Column | None = None, then: Callable[[DataFrame, list[str]], DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
         t = self.tables[name]
-        made = self._write(t, rows, order or t.key, parts)
+        made = self._write(t, rows, order or t.key, parts, then, tasks)
         t.folders = {b: [f] for b, f in made.items()}
         return self._stored(t, list(made.values()))
 

@@ -238,3 +238,29 @@ def test_vector_lists_recall(spark):
     assert index.centroids.probes < len(index.centroids.at)
     whole = index.search(asked, 20, probes=len(index.centroids.at))
     assert len({(r.query_id, r.id) for r in whole.collect()} & want) >= 0.98 * len(want)
+
+
+def test_postings_and_bounds_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """What a text says is counted where it lies: only the write deals rows to tasks."""
+    plans, write = [], Commit._write
+    monkeypatch.setattr(Commit, "_write", lambda self, t, rows, *rest: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, t, rows, *rest))
+    index = Index(Store(spark, str(tmp_path / "i")))
+    index.put(spark.createDataFrame(corpus(50), "id string, text string"))
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+
+
+def test_words_of_pieces_are_counted_as_those_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    from loamgraph.functions.text import STOPWORDS, stem_of
+    from loamgraph.operators import postings
+
+    rnd = random.Random(3)
+    words = ["the", "and", "sings", "singing", "sing", "é", "ærlige", "x1", "nations", "nation", "es", "ly", "bees"]
+    texts = [" ".join(rnd.choices(words, k=k)) for k in (0, 1, 3, 200, 0, 7, 50)] + [" the ", " sings  "]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["id", "words"])
+    monkeypatch.setattr(postings, "AT_ONCE", 64)
+    made = list(postings.said(iter([batch, batch.slice(0, 0)])))
+    got = [(r["id"], r["n"], {x["term"]: x["tf"] for x in r["said"]}) for m in made for r in m.to_pylist()]
+    kept = [[stem_of(w) for w in t.split() if w not in STOPWORDS] for t in texts]
+    assert len(made) > 3 and got == [(str(i), len(k), {w: k.count(w) for w in k}) for i, k in enumerate(kept)]
