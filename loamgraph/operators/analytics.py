@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.components import star_components
-from loamgraph.operators.storage import drop, kept
+from loamgraph.operators.storage import apart, drop, kept
 from loamgraph.operators.traverse import reach
 
 #: Rounds of moves on one level, and levels, at most.
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     known = stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
     known = known.union(stars.select("b", "b").distinct())
     loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component")).distinct()
-    return known.union(loops.join(known, "id", "left_anti"))
+    return known.union(loops.join(apart(known), "id", "left_anti"))
 
 
 def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
@@ -67,10 +67,10 @@ def _moves(both: DataFrame, now: DataFrame, total: float, resolution: float) ->
     now, last, any_moved = kept(now, slim=True), None, False
     for k in range(MOVES):
         held = now.groupBy("community").agg(F.sum("strength").alias("held"))
-        near = both.join(now.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
+        near = both.join(apart(now.select(F.col("id").alias("other"), "community")), "other").groupBy("id", "community").agg(F.sum("w").alias("w"))
         mine = now.select("id", "strength", F.col("community").alias("home"))
         tried = near.unionByName(now.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
-        tried = tried.join(mine, "id").join(held, "community")
+        tried = tried.join(apart(mine), "id").join(apart(held), "community")
         others = F.col("held") - F.when(F.col("community") == F.col("home"), F.col("strength")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("strength") * others / total, 9)
         # Of equal gains home comes first, then the smallest community.
@@ -82,9 +82,9 @@ def _moves(both: DataFrame, now: DataFrame, total: float, resolution: float) ->
             drop(wanted)
             break
         last, any_moved = n, True
-        beside = both.join(wanted.select("id", "lot"), "id").select("other", "lot").groupBy(F.col("other").alias("id")).agg(F.max("lot").alias("most"))
-        going = wanted.join(beside, "id", "left").where("most is null or lot > most").select("id", F.col("community").alias("to"))
-        later = kept(now.join(going, "id", "left").select("id", "strength", F.coalesce("to", "community").alias("community")), slim=True)
+        beside = both.join(apart(wanted.select("id", "lot")), "id").select("other", "lot").groupBy(F.col("other").alias("id")).agg(F.max("lot").alias("most"))
+        going = wanted.join(apart(beside), "id", "left").where("most is null or lot > most").select("id", F.col("community").alias("to"))
+        later = kept(now.join(apart(going), "id", "left").select("id", "strength", F.coalesce("to", "community").alias("community")), slim=True)
         drop(now)
         drop(wanted)
         now = later
@@ -113,9 +113,9 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
     def connected(pairs: DataFrame, level: DataFrame) -> DataFrame:
         """level (id, community) with each community cut into its connected parts, named by their smallest id."""
-        of = lambda end: level.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+        of = lambda end: apart(level.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}")))
         inner = pairs.where("source <> target").join(of("source"), "source").join(of("target"), "target").where("c_source = c_target")
-        return level.select("id").join(components(inner.select("source", "target")), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
+        return level.select("id").join(apart(components(inner.select("source", "target"))), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
     first = folded(edges.where("source is not null and target is not null").select("source", "target", weight.alias("w")))
     total = 2 * (first.agg(F.sum("w")).first()[0] or 0.0)
@@ -131,14 +131,14 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         level = kept(connected(pairs, moved.select("id", "community")), slim=True)
         if level.where("id <> community").isEmpty():
             break
-        inside = kept(inside.join(level.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")), slim=True)
-        s, t = (level.select(F.col("id").alias(end), F.col("community").alias(end[0])) for end in ("source", "target"))
+        inside = kept(inside.join(apart(level.withColumnRenamed("id", "node")), "node").select("id", F.col("community").alias("node")), slim=True)
+        s, t = (apart(level.select(F.col("id").alias(end), F.col("community").alias(end[0]))) for end in ("source", "target"))
         pairs = folded(pairs.join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "w"))
-    last, any_moved = _moves(both_first, strength.join(inside.withColumnRenamed("node", "community"), "id"), total, resolution)
+    last, any_moved = _moves(both_first, strength.join(apart(inside.withColumnRenamed("node", "community")), "id"), total, resolution)
     if any_moved:
         return connected(first, last.select("id", "community"))
     least = inside.groupBy("node").agg(F.min("id").alias("community"))
-    return inside.join(least, "node").select("id", "community")
+    return inside.join(apart(least), "node").select("id", "community")
 
 
 def keep_labels(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.operators.storage import drop, kept
+from loamgraph.operators.storage import apart, drop, kept
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def star_components(links: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: larger neighbours go to the smallest of the neighbourhood.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(apart(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: the node and its smaller neighbours go to the smallest of these.
         up = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(up, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(up.select("a", F.col("m").alias("b")))
+        small = large.join(apart(up), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(up.select("a", F.col("m").alias("b")))
         later = kept(small.where("a <> b").distinct(), slim=True)
         drop(now)
         now = later

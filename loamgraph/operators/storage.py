@@ -59,6 +59,11 @@ def kept(df: DataFrame, name: str = "kept", slim: bool = False) -> DataFrame:
     return back
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles: rows by node, whose files look small enough to be broadcast, would pass through the driver each round."""
+    return df.hint("merge")
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of what kept() returned; nothing may read them any more."""
     at = getattr(df, "_kept_at", None)

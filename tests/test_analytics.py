@@ -76,3 +76,16 @@ def test_components_and_walks_keep_few_files(spark):
     edges = spark.range(200).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target")).repartition(50)
     got = analytics.components(edges)
     assert got.select("component").distinct().count() == 1 and got.rdd.getNumPartitions() <= 24
+
+
+def test_communities_broadcast_no_nodes(spark, monkeypatch):
+    """Rows by node, however small their files look, don't pass through the driver."""
+    from loamgraph.operators import components
+
+    plans = []
+    for module in (analytics, components):
+        monkeypatch.setattr(module, "kept", lambda df, *a, write=module.kept, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **k))
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")]
+    got = {r.id: r.community for r in analytics.communities(spark.createDataFrame(pairs, "source string, target string")).collect()}
+    assert got == {f"{g}{i}": f"{g}0" for g in "ab" for i in range(4)}
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
