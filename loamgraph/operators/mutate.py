@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import expand
 from loamgraph.operators.analytics import closes_cycle
+from loamgraph.operators.storage import dealt
 from loamgraph.sources.manifest import Manifest
 from loamgraph.streaming import changes
 
@@ -16,10 +17,10 @@ class Refused(ValueError):
     """A change that the manifest doesn't allow."""
 
 
-def deduplicated(edges: DataFrame) -> DataFrame:
-    """Edges without twins: of equal type, source and target that with the first place stays."""
+def deduplicated(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Edges without twins: of equal type, source and target that with the first place stays. rows: how many there are, about."""
     place = F.row_number().over(Window.partitionBy("type", "source", "target").orderBy(F.col("position").asc_nulls_last(), "kind"))
-    return edges.withColumn("_p", place).where("_p = 1").drop("_p")
+    return dealt(edges, rows, "source", "target").withColumn("_p", place).where("_p = 1").drop("_p")
 
 
 def _moved(c: Column, old: Column, new: Column) -> Column:
@@ -27,14 +28,14 @@ def _moved(c: Column, old: Column, new: Column) -> Column:
     return F.when(new.isNotNull(), F.concat(new, F.substr(c, F.length(old) + 1))).otherwise(c)
 
 
-def retarget(edges: DataFrame, moves: DataFrame, ends: tuple[str, ...] = ("target",)) -> DataFrame:
+def retarget(edges: DataFrame, moves: DataFrame, ends: tuple[str, ...] = ("target",), size: int | None = None) -> DataFrame:
     """Edges with the ids of moves (old, new) replaced at these ends, sub-units of them included, and without the twins
-    that this makes."""
+    that this makes. size: how many edges there are, about."""
     rows = edges
     for end in ends:
         m = moves.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
         rows = rows.join(m, expand.file_of(F.col(end)) == F.col("_old"), "left").withColumn(end, _moved(F.col(end), F.col("_old"), F.col("_new"))).drop("_old", "_new")
-    return deduplicated(rows.select(*edges.columns))
+    return deduplicated(rows.select(*edges.columns), size)
 
 
 def move(nodes: DataFrame, edges: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task sorts or groups, about.
+ROWS = 1 << 19
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,6 +67,12 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df with rows of equal keys in one task, and as many tasks as so many rows ask for. Left alone, few tasks share what is small
+    while compressed, and each holds all its rows to sort or group them. Without rows df is as it was."""
+    return df if rows is None else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS)), *keys)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of what kept() returned; nothing may read them any more."""
     at = getattr(df, "_kept_at", None)

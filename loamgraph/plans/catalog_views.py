@@ -93,7 +93,7 @@ def _twins(spark, sf):
     g = Graph(spark, sf)
     edges = expand.typed_edges(g, ["contains-part"]).withColumns({"kind": F.lit("direct"), "position": F.lit(1)})
     moves = g.nodes(["part"]).select(F.col("id").alias("old"), F.concat(F.lit("part/"), F.col("p_size").cast("string")).alias("new"))
-    return mutate.retarget(edges, moves).select("source", "target")
+    return mutate.retarget(edges, moves, size=g.size("contains-part")).select("source", "target")
 
 
 def _edge_changes(spark, sf):

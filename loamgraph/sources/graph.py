@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgraph.operators.storage import dealt
 from loamgraph.sources.manifest import TABLES, Manifest
 
 CORE = ("id", "type", "path", "title")
@@ -56,9 +57,13 @@ class Graph:
             rows = rows.crossJoin(F.broadcast(rows.select(F.expr(e.totals))))
         pairs = rows.select(F.expr(e.source_key).alias("s"), F.expr(e.target_key).alias("t")).where("s is not null and t is not null")
         if e.distinct:
-            pairs = pairs.distinct()
+            pairs = dealt(pairs, self.size(kind), "s", "t").distinct()
         return pairs.select(node_id(e.source, F.col("s")).alias("source"), node_id(e.target, F.col("t")).alias("target"))
 
+    def size(self, kind: str) -> int:
+        """Rows of an edge type's table, as its files' footers have it."""
+        return self.table(self.manifest.edges[kind].table).count()
+
     def ends(self, kind: str) -> tuple[list[str], list[str]] | None:
         """The node types an edge type, or a hierarchy, leads from and to."""
         h, edges = self.manifest.hierarchies.get(kind), self.manifest.edges
