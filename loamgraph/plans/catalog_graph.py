@@ -104,7 +104,8 @@ def _dangling(spark, sf):
 
 
 def _cardinality(spark, sf):
-    return checks.too_many(expand.typed_edges(Graph(spark, sf), ["contains-part", "placed-by"]), ["contains-part", "placed-by"])
+    g, kinds = Graph(spark, sf), ["contains-part", "placed-by"]
+    return checks.too_many(expand.typed_edges(g, kinds), kinds, sum(map(g.size, kinds)))
 
 
 def _wrong_ends(spark, sf):

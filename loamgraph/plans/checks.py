@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.operators import analytics
+from loamgraph.operators.storage import dealt
 from loamgraph.plans.filter import matching
 from loamgraph.sources.graph import Graph
 
@@ -34,9 +35,10 @@ def wrong_ends(edges: DataFrame, nodes: DataFrame, allowed: dict[str, tuple[str,
     return issue(rows.where(~fits), "edge-type-violation", F.col("source"), F.concat_ws(" ", "type", F.lit("to"), "target"))
 
 
-def too_many(edges: DataFrame, single: list[str]) -> DataFrame:
-    """Sources with more than one target of an edge type that allows one."""
-    many = edges.where(F.col("type").isin(single)).groupBy("type", "source").agg(F.count_distinct("target").alias("n")).where("n > 1")
+def too_many(edges: DataFrame, single: list[str], rows: int | None = None) -> DataFrame:
+    """Sources with more than one target of an edge type that allows one. rows: how many edges there are, about."""
+    each = dealt(edges.where(F.col("type").isin(single)).select("type", "source", "target"), rows, "source", "target").distinct()
+    many = each.groupBy("type", "source").agg(F.count("target").alias("n")).where("n > 1")
     return issue(many, "edge-cardinality-violation", F.col("source"), F.concat("type", F.lit(" has "), F.col("n").cast("string"), F.lit(" targets")))
 
 

@@ -114,3 +114,16 @@ def test_nearest_of_every_query(spark):
     by = {q: [r.id for r in rows if r.query_id == q] for q in range(0, 500, 100)}
     assert len(rows) == 100 and all(len(ids) == 20 for ids in by.values())
     assert set(by[0]) == {r.id for r in catalog.QUERIES["r05_cosine"](spark, SF).collect()}
+
+
+def test_edges_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from loamgraph.operators import mutate, storage
+    from loamgraph.plans import checks
+
+    monkeypatch.setattr(storage, "ROWS", 10)
+    edges = spark.createDataFrame([("t", f"a{i % 30}", f"b{i % 45}", "direct", i) for i in range(200)] + [("u", "a1", "b1", "direct", 1)], "type string, source string, target string, kind string, position int")
+    once = mutate.deduplicated(edges, 201)
+    assert once.rdd.getNumPartitions() == 21 and sorted(map(tuple, once.collect())) == sorted(map(tuple, mutate.deduplicated(edges).collect()))
+    many = checks.too_many(edges, ["t", "u"], 201)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(("error", "edge-cardinality-violation", f"a{i}", "t has 3 targets") for i in range(30))
